@@ -1,7 +1,7 @@
 """Queries of the operators for training data, over whole tables, with SQL where SQL can state them."""
 
 from corpusloom.functions import ids
-from corpusloom.llm import components, sample, terms, unify
+from corpusloom.llm import components, language, leak, sample, terms, unify
 from corpusloom.plans.registry import Registry, table
 from pyspark.sql import functions as F
 
@@ -80,3 +80,25 @@ def p7_found(spark, folder):
 @REGISTRY.add("p7_splits")
 def p7_splits(spark, folder):
     return components.split_rows(table(spark, folder, "manifest"), table(spark, folder, "dataset_versions"))
+
+
+@REGISTRY.add("p8_found")
+def p8_found(spark, folder):
+    return leak.leaked(table(spark, folder, "documents"), table(spark, folder, "eval_items"))
+
+
+@REGISTRY.add("p8_report")
+def p8_report(spark, folder):
+    return leak.leak_report(table(spark, folder, "documents"), table(spark, folder, "eval_items"))
+
+
+@REGISTRY.add("p10_found")
+def p10_found(spark, folder):
+    documents = table(spark, folder, "documents")
+    return language.relabelled(documents, language.train(documents))
+
+
+@REGISTRY.add("p10_passages")
+def p10_passages(spark, folder):
+    documents = table(spark, folder, "documents")
+    return language.passages(documents, language.train(documents))
