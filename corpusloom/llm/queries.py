@@ -1,7 +1,7 @@
 """Queries of the operators for training data, over whole tables, with SQL where SQL can state them."""
 
 from corpusloom.functions import ids
-from corpusloom.llm import components, language, leak, sample, terms, unify
+from corpusloom.llm import components, language, leak, overlap, sample, terms, unify
 from corpusloom.plans.registry import Registry, table
 from pyspark.sql import functions as F
 
@@ -102,3 +102,13 @@ def p10_found(spark, folder):
 def p10_passages(spark, folder):
     documents = table(spark, folder, "documents")
     return language.passages(documents, language.train(documents))
+
+
+@REGISTRY.add("p5_found")
+def p5_found(spark, folder):
+    return overlap.overlap_pairs(table(spark, folder, "manifest"))
+
+
+@REGISTRY.add("p5_report")
+def p5_report(spark, folder):
+    return overlap.overlap_report(table(spark, folder, "manifest"))
