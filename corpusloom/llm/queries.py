@@ -1,7 +1,7 @@
 """Queries of the operators for training data, over whole tables, with SQL where SQL can state them."""
 
 from corpusloom.functions import ids
-from corpusloom.llm import components, language, leak, overlap, sample, terms, unify
+from corpusloom.llm import components, language, leak, mixture, overlap, packing, sample, terms, unify
 from corpusloom.plans.registry import Registry, table
 from pyspark.sql import functions as F
 
@@ -112,3 +112,23 @@ def p5_found(spark, folder):
 @REGISTRY.add("p5_report")
 def p5_report(spark, folder):
     return overlap.overlap_report(table(spark, folder, "manifest"))
+
+
+@REGISTRY.add("p4_packed")
+def p4_packed(spark, folder):
+    return packing.pack(packing.utterances(table(spark, folder, "manifest")), table(spark, folder, "pack_plans"))
+
+
+@REGISTRY.add("p4_report")
+def p4_report(spark, folder):
+    return packing.fill_report(p4_packed(spark, folder), table(spark, folder, "pack_plans"))
+
+
+@REGISTRY.add("p9_mix")
+def p9_mix(spark, folder):
+    return mixture.mix(table(spark, folder, "documents"), table(spark, folder, "mix_targets"))[0]
+
+
+@REGISTRY.add("p9_shares")
+def p9_shares(spark, folder):
+    return mixture.mix(table(spark, folder, "documents"), table(spark, folder, "mix_targets"))[1]
