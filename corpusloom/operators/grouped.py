@@ -54,3 +54,48 @@ def positions(df: DataFrame, group: list[str], bucket: Column, order: list[Colum
     inner = Window.partitionBy(*group, "_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     keys = [*group, "_bucket"]
     return rows.withColumn("_inner", F.sum(weight).over(inner)).join(totals, keys).withColumn(name, F.col("_before") + F.col("_inner")).drop("_bucket", "_before", "_inner")
+
+
+def ranked_values(df: DataFrame, keys: list[str], value: str, ranks: dict[str, str]) -> DataFrame:
+    """(keys, n, one column per entry of ``ranks``): the values at exact ranks of each group.
+
+    ``ranks`` maps a name to an SQL expression of n that gives a rank from 1. Like the median, only values in the
+    logarithmic steps that hold a wanted rank are ordered. Null and NaN values are left out.
+    """
+    rows = df.where(f"`{value}` is not null and not isnan(cast(`{value}` as double))").select(*keys, F.col(value).cast("double").alias("_v"))
+    size = F.when(F.abs("_v") > 1e-300, F.floor(F.ln(F.least(F.abs("_v"), F.lit(1e300))) * LOG_STEPS) + 3_000_000).otherwise(0)
+    rows = rows.withColumn("_b", F.when(F.col("_v") < 0, -size).otherwise(size))
+    whole = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
+    steps = rows.groupBy(*keys, "_b").agg(F.count("*").alias("_c"))
+    steps = steps.withColumns({"_to": F.sum("_c").over(whole.orderBy("_b")), "n": F.sum("_c").over(whole)})
+    steps = steps.withColumn("_from", F.col("_to") - F.col("_c"))
+    inside = lambda rank: (F.expr(rank) > F.col("_from")) & (F.expr(rank) <= F.col("_to"))
+    wanted = F.lit(False)
+    for rank in ranks.values():
+        wanted = wanted | inside(rank)
+    held = steps.where(wanted).select(*keys, "_b", "_from", "n")
+    values = rows.join(held, [*keys, "_b"]).groupBy(*keys, "_b", "_from", "n", "_v").count()
+    order = Window.partitionBy(*keys, "_b").orderBy("_v")
+    values = values.withColumn("_to", F.col("_from") + F.sum("count").over(order)).withColumn("_from", F.col("_to") - F.col("count"))
+    return values.groupBy(*keys, "n").agg(*[F.max(F.when(inside(rank), F.col("_v"))).alias(name) for name, rank in ranks.items()])
+
+
+def global_rank(df: DataFrame, order: list[Column], name: str = "rank") -> DataFrame:
+    """Adds the rank from 1 in ``order``, which must be total, by a range-partitioned sort.
+
+    The sorted rows are written once with their places; only one count per partition is then summed up.
+    """
+    from pyspark.sql import types as T
+
+    from corpusloom.session import settle
+
+    placed = settle(df.orderBy(*order).withColumn("_m", F.monotonically_increasing_id()), "ranked")
+    placed = placed.withColumns({"_part": F.shiftright("_m", 33), "_at": F.col("_m").bitwiseAND(F.lit((1 << 33) - 1))})
+    sizes = {r["_part"]: r["n"] for r in placed.groupBy("_part").agg(F.count("*").alias("n")).collect()}  # a row a partition
+    starts, at = [], 0
+    for part in sorted(sizes):
+        starts.append((part, at))
+        at += sizes[part]
+    kinds = T.StructType([T.StructField("_part", T.LongType()), T.StructField("_start", T.LongType())])
+    first = df.sparkSession.createDataFrame(starts, kinds)
+    return placed.join(F.broadcast(first), "_part").withColumn(name, F.col("_start") + F.col("_at") + 1).drop("_m", "_part", "_at", "_start")

@@ -1,0 +1,143 @@
+"""Symbol and word inventories, encoding, and what falls outside a vocabulary."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from corpusloom import schema
+from corpusloom.config import TokenizerConfig
+from corpusloom.functions import text as tx
+from corpusloom.operators.grouped import global_rank
+
+TOP = (100, 500, 1_000, 2_000, 5_000, 10_000, 20_000, 50_000, 80_000, 100_000, 130_000)
+
+
+def symbol_counts(texts: DataFrame, config: TokenizerConfig = TokenizerConfig()) -> DataFrame:
+    """(symbol, count) over prepared texts (column ``text``)."""
+    prepared = texts.select(tx.prepare_text(F.col("text"), config.form, config.include_space).alias("p")).where("p <> ''")
+    return prepared.select(F.explode(tx.characters(F.col("p"))).alias("symbol")).groupBy("symbol").count()
+
+
+def vocabulary(texts: DataFrame, config: TokenizerConfig = TokenizerConfig()) -> DataFrame:
+    """(id, symbol, count): kept symbols by falling count, then code point; ids from 2 (0 blank, 1 unknown)."""
+    kept = symbol_counts(texts, config).where(F.col("count") >= config.min_frequency)
+    ranked = global_rank(kept, [F.col("count").desc(), F.col("symbol")])
+    if config.max_symbols is not None:
+        ranked = ranked.where(F.col("rank") <= config.max_symbols)
+    return ranked.select((F.col("rank") + schema.UNKNOWN).alias("id"), "symbol", "count")
+
+
+def word_counts(texts: DataFrame, normal: bool = False) -> DataFrame:
+    text = tx.normalize_text(F.col("text")) if normal else F.col("text")
+    return texts.select(F.explode(tx.words(text)).alias("word")).groupBy("word").count()
+
+
+def word_ranks(texts: DataFrame) -> DataFrame:
+    """(word, count, rank): words by falling count, then code points, ranked from 1."""
+    return global_rank(word_counts(texts), [F.col("count").desc(), F.col("word")])
+
+
+def symbol_map(vocab: DataFrame) -> Column:
+    """symbol -> id as a literal map. A character inventory is bounded by Unicode; real ones hold some thousand symbols."""
+    pairs = [(r["symbol"], r["id"]) for r in vocab.select("symbol", "id").collect()]
+    if len(pairs) > 100_000:
+        raise ValueError("this is no character vocabulary")
+    if not pairs:
+        return F.create_map().cast("map<string,int>")
+    return F.map_from_arrays(F.lit([s for s, _ in pairs]), F.lit([int(i) for _, i in pairs]))
+
+
+def encode(texts: DataFrame, vocab: DataFrame, config: TokenizerConfig = TokenizerConfig()) -> DataFrame:
+    """Adds ids (array of int, one a code point of the prepared text; 1 for unknown) and unknown (how many)."""
+    held = texts.withColumn("_p", tx.prepare_text(F.col("text"), config.form, config.include_space))
+    mapped = symbol_map(vocab)
+    ids = F.transform(tx.characters(F.col("_p")), lambda c: F.coalesce(F.try_element_at(mapped, c).cast("int"), F.lit(schema.UNKNOWN)))
+    return held.withColumn("ids", ids).withColumn("unknown", F.size(F.filter("ids", lambda i: i == schema.UNKNOWN))).drop("_p")
+
+
+def decode(ids: Column, vocab: DataFrame, keep_unknown: str | None = None) -> Column:
+    """The text of an id array: blanks dropped, unknowns dropped or written as ``keep_unknown``; other ids raise."""
+    names = {int(r["id"]): r["symbol"] for r in vocab.select("symbol", "id").collect()}
+    back = F.map_from_arrays(F.lit(list(names)), F.lit(list(names.values()))) if names else F.create_map().cast("map<int,string>")
+    unknown = F.lit(keep_unknown or "")
+    one = lambda i: F.when(i == schema.BLANK, "").when(i == schema.UNKNOWN, unknown).otherwise(
+        F.coalesce(F.try_element_at(back, i), F.raise_error(F.concat(F.lit("no symbol has id "), i.cast("string"))))
+    )
+    return F.array_join(F.transform(ids, one), "")
+
+
+def decode_words(text: Column, include_space: bool = True) -> Column:
+    """Words of a decoded text; without spaces the whole text is one, an empty text none."""
+    whole = F.split(text, " ") if include_space else F.array(text)
+    return F.when(text == "", F.array().cast("array<string>")).otherwise(whole)
+
+
+def unseen_words(rows: DataFrame) -> DataFrame:
+    """(split, tokens, distinct, unseen, rate): words of each split, and those that the train split doesn't hold."""
+    tokens = rows.select("split", F.explode(tx.words(F.col("text"))).alias("word")).groupBy("split", "word").count()
+    known = tokens.where("split = 'train'").select("word", F.lit(1).alias("known"))
+    held = tokens.join(known, "word", "left")
+    return held.groupBy("split").agg(
+        F.sum("count").alias("tokens"), F.count("*").alias("distinct_words"), F.coalesce(F.sum(F.when(F.col("known").isNull(), F.col("count"))), F.lit(0)).alias("unseen")
+    ).withColumn("rate", F.col("unseen") / F.col("tokens"))
+
+
+def coverage_curve(rows: DataFrame, tops: tuple[int, ...] = TOP) -> DataFrame:
+    """(top, split, tokens, unseen, utterances, unseen_utterances) if only the ``top`` most frequent train words were known.
+
+    One pass serves all sizes: every word carries its rank, every utterance its worst rank.
+    """
+    ranks = word_ranks(rows.where("split = 'train'")).select("word", "rank")
+    tokens = rows.select("row_id", "split", F.explode(tx.words(F.col("text"))).alias("word"))
+    held = tokens.join(ranks, "word", "left").withColumn("rank", F.coalesce("rank", F.lit((1 << 62))))
+    grid = F.explode(F.array(*map(F.lit, tops))).alias("top")
+    level = lambda c: sum((F.when(F.col(c) > t, 1).otherwise(0) for t in tops), F.lit(0))
+    edge = F.lit(list(tops))
+    words = held.withColumn("level", level("rank")).groupBy("split", "level").count()
+    worst = held.groupBy("row_id", "split").agg(F.max("rank").alias("rank")).withColumn("level", level("rank")).groupBy("split", "level").count()
+    sized = lambda df: df.withColumn("reach", F.when(F.col("level") > 0, F.element_at(edge, F.col("level").cast("int"))).otherwise(0))
+    words, worst = sized(words).select("*", grid), sized(worst).select("*", grid)
+    hit = lambda df, name: df.groupBy("top", "split").agg(F.sum(F.when(F.col("reach") >= F.col("top"), F.col("count")).otherwise(0)).alias(name))
+    totals = rows.groupBy("split").agg(F.count("*").alias("utterances"), F.coalesce(F.sum(F.size(tx.words(F.col("text")))), F.lit(0)).alias("tokens"))
+    return hit(words, "unseen").join(hit(worst, "unseen_utterances"), ["top", "split"]).join(totals, "split")
+
+
+def unknown_rate(rows: DataFrame, vocab: DataFrame, config: TokenizerConfig = TokenizerConfig()) -> DataFrame:
+    """(split, symbols, unknown, utterances, with_unknown, rate)."""
+    held = encode(rows, vocab, config)
+    return held.groupBy("split").agg(
+        F.sum(F.size("ids")).alias("symbols"), F.sum("unknown").alias("unknown"), F.count("*").alias("utterances"), F.count_if(F.col("unknown") > 0).alias("with_unknown")
+    ).withColumn("rate", F.coalesce(F.try_divide("unknown", "symbols"), F.lit(0.0)))
+
+
+def character_stats(rows: DataFrame) -> DataFrame:
+    """(split, characters, filled, distinct, unseen): code points, those not white space, distinct ones, and occurrences of
+    characters that the train split doesn't hold."""
+    chars = rows.where("text <> ''").select("split", F.explode(tx.characters(F.col("text"))).alias("c")).groupBy("split", "c").count()
+    known = chars.where("split = 'train'").select("c", F.lit(1).alias("known"))
+    held = chars.join(known, "c", "left")
+    return held.groupBy("split").agg(
+        F.sum("count").alias("characters"), F.coalesce(F.sum(F.when(~F.col("c").rlike(f"^{tx.SPACE}$"), F.col("count"))), F.lit(0)).alias("filled"), F.count("*").alias("distinct_characters"),
+        F.coalesce(F.sum(F.when(F.col("known").isNull(), F.col("count"))), F.lit(0)).alias("unseen"),
+    )
+
+
+def script_histogram(rows: DataFrame, form: str = "NFC") -> DataFrame:
+    """(script, characters): distinct code points a script; scripts without any have 0."""
+    text = tx.normalize_text(F.col("text"), form)
+    seen = rows.select(text.alias("t")).where("t <> ''").select(F.explode(tx.characters(F.col("t"))).alias("c")).distinct()
+    held = seen.groupBy(tx.script_of(F.col("c")).alias("script")).count()
+    names = rows.sparkSession.createDataFrame([(s,) for s in tx.SCRIPTS], "script string")
+    return names.join(held, "script", "left").select("script", F.coalesce("count", F.lit(0)).alias("characters"))
+
+
+def scripts_in_order(text: Column) -> Column:
+    """Scripts of a text in order of first appearance."""
+    return F.array_distinct(F.transform(tx.characters(tx.normalize_text(text)), tx.script_of))
+
+
+def normal_form_audit(rows: DataFrame) -> DataFrame:
+    """(form, changed, total): texts that each normal form changes."""
+    forms = [F.struct(F.lit(f).alias("form"), (tx.normalize_text(F.col("text"), f) != F.col("text")).alias("changed")) for f in ("NFC", "NFD", "NFKC")]
+    return rows.select(F.explode(F.array(*forms)).alias("f")).groupBy("f.form").agg(F.count_if("f.changed").alias("changed"), F.count("*").alias("total"))

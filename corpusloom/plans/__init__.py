@@ -2,6 +2,6 @@
 
 
 def all_registries() -> list:
-    from corpusloom.plans import spike_queries
+    from corpusloom.plans import corpus_queries, spike_queries
 
-    return [spike_queries.REGISTRY]
+    return [corpus_queries.REGISTRY, spike_queries.REGISTRY]
