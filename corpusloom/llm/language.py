@@ -107,6 +107,8 @@ class Languages:
     def passages(self, words: list[str]) -> list[tuple[int, int, str | None, float]]:
         """(first word, words, language or None, confidence) of the passages of a text, in order."""
         out = []
+        if not self.names:
+            return [(a, b - a, None, 0.0) for a, b, _ in script_runs(words, self.config.passage)]
         for start, end, script in script_runs(words, self.config.passage):
             part = words[start:end]
             sizes = self.sizes(part)
@@ -121,7 +123,7 @@ class Languages:
                     sizes = self.sizes(part[a:b])
                     order = sizes.argsort(kind="stable")
                     k, second = int(order[0]), int(order[1])
-                gap = (sizes[second] - sizes[k]) / max(sizes[k], 1.0)
+                gap = (sizes[second] - sizes[k]) / max(sizes[k], 1.0) if second != k else 1.0  # one language: no rival
                 sure = float(1 / np.exp2(-np.minimum(sizes - sizes[k], 60)).sum())
                 out.append((start + a, b - a, self.names[k] if gap >= self.config.margin else None, sure))
         return out
@@ -215,12 +217,12 @@ def train(documents: DataFrame, config: LanguageConfig = LanguageConfig()) -> La
     """Dictionaries from at most about ``sample`` labelled documents a language, chosen by a hash of doc_id.
 
     Labels may be wrong in places: sample documents that another language writes shorter are left out. A language without
-    labelled documents is not known. Raises ValueError if no document carries a known label.
+    labelled documents is not known; if no document carries a known label, no language is, and passages have none.
     """
     rows = documents.select("doc_id", "text", label_code(F.col("lang")).alias("code")).where(F.col("code").isin(*LANGUAGES) & (F.length("text") > 0))
     counts = {r["code"]: r["count"] for r in rows.groupBy("code").count().collect()}  # a row a language
     if not counts:
-        raise ValueError("no document has a label of a known language")
+        return Languages({}, config)
     share = F.create_map(*[F.lit(x) for code, n in counts.items() for x in (code, min(1.0, config.sample / n))])
     drawn = rows.where(F.pmod(F.xxhash64("doc_id", F.lit(config.seed)), F.lit(1 << 30)) / float(1 << 30) < F.element_at(share, F.col("code")))
     texts: dict[str, list[tuple[int, list[str]]]] = {}

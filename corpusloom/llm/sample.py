@@ -62,12 +62,14 @@ def sample_rows(records: DataFrame, key: Column, epoch: str, rates: Mapping[int,
     """The rows of all chosen keys, with sample_key, draw, first_epoch and rate added.
 
     Rows without key or epoch are never chosen. Draws depend on the key alone, so rows that no rate could choose are
-    dropped before any shuffle. An empty table gives an empty sample.
+    dropped before any shuffle. An empty table gives an empty sample; columns of the four names are replaced.
     """
     most = max(rates.values())
     if ledger is not None:
         most = max(most, ledger.agg(F.max("rate")).first()[0] or 0.0)
-    rows = records.withColumns({"sample_key": key}).withColumn("draw", draw(F.col("sample_key"), seed))
+    made = ("sample_key", "draw", "first_epoch", "rate")
+    rows = records.withColumn("_sample_key", key).drop(*(c for c in made if c != epoch)).withColumnRenamed("_sample_key", "sample_key")
+    rows = rows.withColumn("draw", draw(F.col("sample_key"), seed))
     rows = rows.where(F.col("draw") < most)
     seen = first_seen(rows.select("sample_key", epoch), "sample_key", epoch, rates, ledger)
     return rows.join(seen, "sample_key").where(F.col("draw") < F.col("rate"))
