@@ -7,6 +7,7 @@ share, eight-word windows written under each of them show where the language cha
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import groupby
@@ -28,7 +29,7 @@ MISSING = ("", "und")
 @dataclass(frozen=True)
 class LanguageConfig:
     """sample: documents a language is trained on at most; dictionary: bytes of a dictionary; rounds: passes that drop
-    sample documents another language writes shorter; level: of the compressor; passage: fewest words of a passage;
+    sample documents of another language than their label, at last those with passages of another; level: of the compressor; passage: fewest words of a passage;
     window, step: words of a window and between windows; slack: bytes by which a window must speak for another
     language before a passage is looked at closely; switch: bytes a change of language costs; margin: share by which
     the second-best language must be longer, else the passage has no language."""
@@ -64,23 +65,31 @@ class Languages:
     def __init__(self, texts: dict[str, list[list[str]]], config: LanguageConfig) -> None:
         self.config = config
         self.names = sorted(texts)
+        texts = {k: [list(w) for w in dict.fromkeys(map(tuple, v))] for k, v in texts.items()}
         kept = texts
-        for _ in range(config.rounds):  # each half is judged by dictionaries of the other, or a wrong text would find itself
+        for step in range(config.rounds):
+            # Each half is judged by dictionaries of the other, or a text would find itself. In the last step texts that hold
+            # passages of another language go too: they would make those passages look like their label.
             left: dict[str, list[list[str]]] = {k: [] for k in self.names}
             for half in (0, 1):
                 self._fill({k: [w for i, w in enumerate(texts[k]) if i % 2 != half and w in kept[k]] for k in self.names})
                 for k in self.names:
-                    left[k] += [w for i, w in enumerate(texts[k]) if i % 2 == half and self.names[int(self.sizes(w).argmin())] == k]
-            kept = {k: left[k] or texts[k] for k in self.names}
+                    for w in texts[k][half::2]:
+                        if step < config.rounds - 1:
+                            good = self.names[int(self.sizes(w).argmin())] == k
+                        else:
+                            good = all(name == k for _, _, name, _ in self.passages(w))
+                        if good:
+                            left[k].append(w)
+            kept = {k: left[k] or kept[k] for k in self.names}
         self._fill(kept)
-        self.script = {}
-        for k in self.names:
-            scripts = [word_script(w) for words in kept[k] for w in words]
-            held = [s for s in scripts if s]
-            self.script[k] = max(set(held), key=held.count) if held else ""
 
     def _fill(self, texts: dict[str, list[list[str]]]) -> None:
         self.data = {k: " ".join(" ".join(w) for w in v).encode()[: self.config.dictionary] for k, v in texts.items()}
+        self.script = {}
+        for k, v in texts.items():
+            held = Counter(filter(None, (word_script(w) for words in v for w in words)))
+            self.script[k] = held.most_common(1)[0][0] if held else ""
         self._open()
 
     def _open(self) -> None:
