@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusloom.sources import files
+
 PCM, FLOAT, EXTENSIBLE = 1, 3, 0xFFFE
 
 
@@ -70,7 +72,10 @@ def encode(x: np.ndarray, rate: int) -> bytes:
 
 
 def _files(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.wav").load(path)
+    """(path, content) of all WAV files below a folder, those of no bytes included."""
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.wav").load(path)
+    void = files.list_files(spark, [path], ".wav", recursive=True).where("size = 0")
+    return raw.select(files.plain(F.col("path")).alias("path"), "content").unionByName(void.select("path", F.lit("").cast("binary").alias("content")))
 
 
 def read_headers(spark: SparkSession, path: str) -> DataFrame:
