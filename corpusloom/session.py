@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -36,8 +37,8 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: s
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors share, as named by ``spark.checkpoint.dir``.
 
-    Only where the session names none (tests, one process) a temporary folder is made and
-    removed again when the process ends.
+    Only where the session names none and runs in one process (tests, bench) a temporary folder is
+    made and removed again when the process ends; a cluster without the setting raises.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
@@ -45,12 +46,28 @@ def shared_folder(spark: SparkSession) -> str:
     held = spark.sparkContext.getCheckpointDir()
     if held:
         return held.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     own = tempfile.mkdtemp(prefix="corpusloom-")
     atexit.register(shutil.rmtree, own, True)
     spark.sparkContext.setCheckpointDir(f"file://{own}")
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 
 
+#: Tables that settle wrote in this process
+_WRITTEN: list[str] = []
+
+
+def sweep(spark: SparkSession) -> int:
+    """Deletes what settle wrote, for use when no result of it is needed any more; gives the number of tables."""
+    hadoop = spark.sparkContext._jsc.hadoopConfiguration()
+    done = 0
+    while _WRITTEN:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        done += bool(path.getFileSystem(hadoop).delete(path, True))
+    return done
+
+
 def settle(df: DataFrame, name: str = "step") -> DataFrame:
     """Write ``df`` once as a columnar table in the shared folder and read it back.
 
@@ -59,5 +76,6 @@ def settle(df: DataFrame, name: str = "step") -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    _WRITTEN.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)

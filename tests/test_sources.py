@@ -119,3 +119,14 @@ def test_windows_over_a_stream(spark, tmp_path):
     q.stop()
     assert sorted(map(tuple, spark.table("w").collect())) == sorted(map(tuple, batch.collect())) and batch.count() > 5
     assert windows.sessions(spark.read.parquet(f"{tmp_path}/in"), "10 minutes").agg(F.sum("events")).first()[0] == 60
+
+
+def test_settled_tables_are_shared_and_swept(spark):
+    from pathlib import Path
+
+    from corpusloom import session
+
+    df = session.settle(spark.range(5), "t")
+    folder = Path(session._WRITTEN[-1].removeprefix("file:"))
+    assert df.count() == 5 and folder.exists() and session.shared_folder(spark).rstrip("/") in session._WRITTEN[-1]
+    assert session.sweep(spark) >= 1 and not folder.exists()
