@@ -102,7 +102,7 @@ def split_rows(manifest: DataFrame, versions: DataFrame, seed: int = 11, cells:
     plain = {"train": 0.9, "dev": 0.05, "test": 0.05}
     totals = {r["dataset"]: r["n"] for r in heads.groupBy("dataset").agg(F.sum("n").alias("n")).collect()}  # a row a dataset
     limit = spark.createDataFrame([(d, n * min(ratios.get(d, plain).values()) / 2) for d, n in totals.items()], "dataset string, most double")
-    heads = heads.join(F.broadcast(limit), "dataset")
+    heads = heads.join(limit, "dataset")
     heavy = heads.where("n > most").select("component", "dataset", "n").collect()  # at most 2 / smallest ratio a dataset
     cell = F.floor(F.col("u") * cells).cast("int").alias("cell")
     weights = heads.where("n <= most").groupBy("dataset", cell).agg(F.sum("n").alias("n")).collect()  # at most cells a dataset
@@ -125,5 +125,5 @@ def split_rows(manifest: DataFrame, versions: DataFrame, seed: int = 11, cells:
     by_cell = spark.createDataFrame(ends, "dataset string, cell int, split string")
     by_hand = spark.createDataFrame(placed, "component long, placed string")
     heads = heads.withColumn("cell", F.floor(F.col("u") * cells).cast("int"))
-    heads = heads.join(F.broadcast(by_cell), ["dataset", "cell"], "left").join(F.broadcast(by_hand), "component", "left")
+    heads = heads.join(by_cell, ["dataset", "cell"], "left").join(by_hand, "component", "left")
     return rows.join(heads.select("component", F.coalesce("placed", "split").alias("split")), "component").select("row_id", "dataset_id", "component", "split")

@@ -28,13 +28,14 @@ MISSING = ("", "und")
 
 @dataclass(frozen=True)
 class LanguageConfig:
-    """sample: documents a language is trained on at most; dictionary: bytes of a dictionary; rounds: passes that drop
+    """sample: documents a language is trained on at most, longest: characters of such a document at most; dictionary: bytes of a dictionary; rounds: passes that drop
     sample documents of another language than their label, at last those with passages of another; level: of the compressor; passage: fewest words of a passage;
     window, step: words of a window and between windows; slack: bytes by which a window must speak for another
     language before a passage is looked at closely; switch: bytes a change of language costs; margin: share by which
     the second-best language must be longer, else the passage has no language."""
 
     sample: int = 300
+    longest: int = 20_000
     dictionary: int = 110_000
     rounds: int = 3
     level: int = 3
@@ -228,7 +229,7 @@ def train(documents: DataFrame, config: LanguageConfig = LanguageConfig()) -> La
     Labels may be wrong in places: sample documents that another language writes shorter are left out. A language without
     labelled documents is not known; if no document carries a known label, no language is, and passages have none.
     """
-    rows = documents.select("doc_id", "text", label_code(F.col("lang")).alias("code")).where(F.col("code").isin(*LANGUAGES) & (F.length("text") > 0))
+    rows = documents.select("doc_id", "text", label_code(F.col("lang")).alias("code")).where(F.col("code").isin(*LANGUAGES) & F.length("text").between(1, config.longest))
     counts = {r["code"]: r["count"] for r in rows.groupBy("code").count().collect()}  # a row a language
     if not counts:
         return Languages({}, config)

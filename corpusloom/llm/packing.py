@@ -240,7 +240,7 @@ def pack(items: DataFrame, plans: DataFrame, config: PackConfig = PackConfig())
     grid = usual.select("dataset_id", "usual", F.explode(F.array(*each) if each else empty).alias("p")).select("dataset_id", "usual", "p.*")
     windows = F.greatest(F.lit(1), F.round(F.col("capacity") / (F.col("usual") * config.wanted))).cast("int")
     grid = settle(grid.withColumn("container_parts", windows), "grid")
-    every = rows.join(F.broadcast(grid), "dataset_id")
+    every = rows.join(grid, "dataset_id")
     whole = F.greatest(F.ceil(F.col("seconds") / F.col("capacity")) - 1, F.lit(0)).cast("long")
     every = every.withColumn("whole", whole).withColumn("rest", F.least(F.col("seconds") - F.col("whole") * F.col("capacity"), F.col("capacity")))
     top = F.col("container_parts") * config.classes
