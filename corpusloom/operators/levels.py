@@ -148,3 +148,25 @@ def loudness(clips: DataFrame, limits: LevelLimits = LevelLimits(), samples: str
         (filled & (F.abs("dc_offset") > limits.dc_offset), "dc_offset", "warning", F.col("dc_offset")),
     )
     return clips.withColumn("loudness", F.when(clipped, "clipped").otherwise(level)).withColumn("loudness_issues", issues)
+
+
+def summary(issues: Column) -> Column:
+    """``code(severity); ...`` of an array of issues."""
+    return F.array_join(F.transform(issues, lambda i: F.concat(i["code"], F.lit("("), i["severity"], F.lit(")"))), "; ")
+
+
+def of_severity(issues: Column, severity: str) -> Column:
+    return F.filter(issues, lambda i: i["severity"] == severity)
+
+
+def sine(seconds: float, hz: float, amp: float = 0.5, rate: int = 16_000) -> Column:
+    """A test tone."""
+    return F.transform(F.sequence(F.lit(0), F.lit(max(round(seconds * rate), 1) - 1)), lambda i: (amp * F.sin(i * (2 * 3.141592653589793 * hz / rate))).cast("float"))
+
+
+def speech_like(seconds: float, hz: float = 180.0, amp: float = 0.35, rate: int = 16_000) -> Column:
+    """Six harmonics under a 4 Hz envelope."""
+    step = 2 * 3.141592653589793 / rate
+    tone = lambda i: sum((F.sin(i * (step * hz * k)) for k in range(1, 7)), F.lit(0.0)) / 6
+    one = lambda i: (amp * tone(i) * (1 - F.cos(i * (step * 4))) / 2).cast("float")
+    return F.transform(F.sequence(F.lit(0), F.lit(max(round(seconds * rate), 1) - 1)), one)

@@ -139,3 +139,48 @@ def ordered(rows: DataFrame) -> DataFrame:
 def ranks_in(rows: DataFrame, group: str, by: list[Column], most: int) -> DataFrame:
     """The first ``most`` rows of each group; Spark limits each group before it shuffles."""
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy(group).orderBy(*by))).where(F.col("rank") <= most)
+
+
+def curation_checks(before: DataFrame, after: DataFrame, removed: DataFrame) -> DataFrame:
+    """(name, ok, detail): a new version against the one before and the rows meant to be removed (row_id).
+
+    Made from the tables alone, without the code that made them. detail counts what speaks against a check.
+    """
+    columns = [c for c in before.columns if c != "row_id"]
+    count = lambda df: df.agg(F.count("*").alias("detail"))
+    gone = before.join(after, "row_id", "left_anti").select("row_id")
+    checks = {
+        "nothing but the named rows is gone": count(gone.join(removed, "row_id", "left_anti")),
+        "all named rows are gone": count(removed.join(after, "row_id", "left_semi")),
+        "no row is new": count(after.join(before, "row_id", "left_anti")),
+        "kept rows are unchanged": count(changed_rows(before, after, "row_id", columns)),
+        "no speaker changed its splits": count(after.select("speaker_id", "split").distinct().join(before.select("speaker_id", "split").distinct(), ["speaker_id", "split"], "left_anti")),
+        "no row occurs twice": count(after.groupBy("row_id").count().where("count > 1")),
+    }
+    out = None
+    for name, df in checks.items():
+        one = df.select(F.lit(name).alias("name"), (F.col("detail") == 0).alias("ok"), "detail")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def metadata(rows: DataFrame, removed: DataFrame, dataset_id: str, version: str, derived_from: str | None = None) -> DataFrame:
+    """One row ``json``: statistics of each split, its speakers, and what was removed from the version before."""
+    stats = summary(rows).where("split <> 'total'")
+    each = F.struct("utterances", "speakers", "hours", "empty_transcripts", "sample_rates", "prefixes", F.struct(F.col("shortest").alias("min"), "median", F.col("longest").alias("max")).alias("duration_seconds"))
+    splits = stats.agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("split", each.alias("v"))))).alias("splits"))
+    voices = rows.groupBy("split").agg(F.sort_array(F.collect_set("speaker_id")).alias("v"))
+    voices = voices.agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("split", "v")))).alias("speakers"))
+    gone = removed.agg(F.sort_array(F.collect_list(F.struct("utterance_id", "speaker_id", "split", "duration_seconds"))).alias("removed"))
+    one = lambda df: df.withColumn("_k", F.lit(1))
+    doc = one(splits).join(one(voices), "_k").join(one(gone), "_k")  # one row each
+    head = [F.lit(dataset_id).alias("dataset_id"), F.lit(version).alias("dataset_version"), F.lit(derived_from).alias("derived_from")]
+    changes = F.struct(F.size("removed").alias("removed_utterances"), "removed").alias("changes")
+    return doc.select(F.to_json(F.struct(*head, changes, "splits", "speakers"), {"pretty": "true"}).alias("json"))
+
+
+def write_version(rows: DataFrame, base: str, version: str) -> str:
+    """A version as Parquet by split in a folder of its own; a version that exists is never overwritten."""
+    path = f"{base.rstrip('/')}/{version}"
+    rows.write.mode("errorifexists").partitionBy("split").parquet(path)
+    return path

@@ -181,3 +181,58 @@ def detect_speech(clips: DataFrame, config: VadConfig = VadConfig()) -> DataFram
         raw = raw.withColumn("is_speech", F.col("is_speech") & (F.col("flatness") < config.flatness_max))
     raw = raw.select("utt", "frame", "is_speech")
     return fr.drop_short(fr.hangover(fr.majority(raw, config.smooth), config.hangover), config.min_speech)
+
+
+def magnitude(spectrum: np.ndarray) -> np.ndarray:
+    return np.abs(spectrum)
+
+
+def power(spectrum: np.ndarray) -> np.ndarray:
+    return spectrum.real**2 + spectrum.imag**2
+
+
+def phase(spectrum: np.ndarray) -> np.ndarray:
+    return np.angle(spectrum)
+
+
+def dominant_frequency(x: np.ndarray, rate: int) -> float:
+    """The frequency of the strongest bin of the whole clip under a Hann window."""
+    return float(np.abs(np.fft.rfft(x * np.hanning(len(x)))).argmax() * rate / len(x))
+
+
+def quality_report(clips: DataFrame, frame: float = 0.025, hop: float = 0.010, silence: float = -50.0, config: StftConfig | None = None) -> DataFrame:
+    """One row a clip: its levels and loudness, estimated signal-to-noise ratio, silence ratio, zero-crossing rate and
+    spectral figures. Levels stay in the JVM; only the spectrum goes through Python, and joins on utt, which must be unique.
+    """
+    from pyspark.sql import functions as F
+
+    from corpusloom.operators import levels as lv
+
+    x, sr = F.col("samples"), F.col("sample_rate")
+    held = lv.loudness(clips.select("utt", "samples", "sample_rate"))
+    held = held.withColumns({"duration": F.size(x) / sr, "num_samples": F.size(x), "zero_crossing_rate": lv.zero_crossing_rate(x)})
+    rates = [r[0] for r in clips.select("sample_rate").distinct().limit(1000).collect()]  # rates of devices: a few
+    levels = F.lit(None).cast("array<double>")
+    for r in rates:
+        levels = F.when(sr == r, lv.frame_rms(x, round(frame * r), round(hop * r))).otherwise(levels)
+    held = held.withColumn("_db", F.transform(levels, lv.dbfs))
+    finite = F.array_sort(F.filter("_db", lambda v: v > float("-inf")))
+    held = held.withColumn("_finite", finite)
+    n = F.size("_finite")
+
+    def percentile(q: float):
+        at = (n - 1) * q
+        low = F.floor(at).cast("int")
+        a, b = F.element_at("_finite", low + 1), F.element_at("_finite", F.least(low + 2, n))
+        return a + (b - a) * (at - low)
+
+    snr = F.when(n > 0, F.greatest(percentile(0.9) - percentile(0.1), F.lit(0.0))).otherwise(0.0)
+    quiet = F.when(F.size("_db") > 0, F.size(F.filter("_db", lambda v: v <= silence)) / F.size("_db")).otherwise(1.0)
+    held = held.withColumns({"estimated_snr_db": snr, "silence_ratio": quiet}).drop("_db", "_finite", "samples")
+    names = {"centroid": "spectral_centroid_hz", "bandwidth": "spectral_bandwidth_hz", "rolloff": "spectral_rolloff_hz", "flatness": "spectral_flatness"}
+    return held.join(quality(clips, config).withColumnsRenamed(names), "utt")
+
+
+def extract_features(clips: DataFrame, config: StftConfig = StftConfig()) -> DataFrame:
+    """Log-mel frames of clips of any rate: those of another rate than the setting's are resampled first."""
+    return log_mel_frames(resampled(clips, config.sample_rate), config)

@@ -1,6 +1,7 @@
 """Queries on frames, segments and waveforms."""
 
 from corpusloom.config import StftConfig
+from corpusloom.model import network
 from corpusloom.operators import frames as fr
 from corpusloom.operators import levels as lv
 from corpusloom.operators import spectral as sp
@@ -234,3 +235,17 @@ def event_windows(spark, folder):
 )
 def event_sessions(spark, folder):
     return windows.sessions(table(spark, folder, "events"))
+
+
+@add("quality_report")
+def quality_report(spark, folder):
+    held = sp.quality_report(clips(spark, folder), frame=25 / 16_000, hop=12 / 16_000, silence=-18.0, config=StftConfig(n_fft=64, win_length=32, hop_length=16))
+    return held.drop("loudness_issues")
+
+
+@add("model_tokens")
+def model_tokens(spark, folder):
+    """Each embedding as eight frames of eight features, scored by a model with fixed random weights."""
+    rows = table(spark, folder, "embeddings").select(F.col("vec_id").alias("utt"), F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.slice("embedding", i * 8 + 1, 8)).alias("mels"))
+    made = network.Network(network.Shape(mels=8, classes=12, layers=((16, 3, 2, 1), (16, 3, 2, 1)), hidden=16))
+    return network.score(rows, made).select("utt", F.array_join("tokens", " ").alias("tokens"))

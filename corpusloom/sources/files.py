@@ -32,3 +32,15 @@ def list_files(spark: SparkSession, folders: list[str], suffix: str, recursive:
 
     names = spark.createDataFrame([(f.replace("file:", "", 1) if f.startswith("file:/") else f,) for f in folders], "folder string")
     return names.repartition(len(folders)).mapInArrow(run, "path string, name string, size long")
+
+
+#: Kinds of recordings in the order in which one is looked for (fixed values).
+RECORDINGS = (".wav", ".mp3", ".flac", ".m4a", ".ogg")
+
+
+def first_recording(spark: SparkSession, folder: str) -> str | None:
+    """The first recording that isn't empty, by kind, then name; None if there is none."""
+    kind = F.array_position(F.array(*map(F.lit, RECORDINGS)), F.lower(F.regexp_extract("name", r"(\.[^.]*)$", 1)))
+    held = list_files(spark, [folder], "").withColumn("kind", kind).where("kind > 0 and size > 0")
+    row = held.orderBy("kind", "path").first()
+    return row["path"] if row else None

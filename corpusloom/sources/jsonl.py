@@ -61,3 +61,10 @@ def load_tokenizer(spark: SparkSession, path: str) -> DataFrame:
         raise ValueError("symbols are repeated")
     rows = [(i, s, held.get("counts", {}).get(s, 0)) for i, s in enumerate(symbols) if i > schema.UNKNOWN]
     return spark.createDataFrame(rows, "id long, symbol string, count long")
+
+
+def write_words(ranks: DataFrame, folder: str) -> None:
+    """Folders word_vocab (one word a line by rank) and token2id (JSON lines of word and id) of (word, rank)."""
+    sorted_ = ranks.orderBy("rank")
+    sorted_.select("word").write.mode("overwrite").text(f"{folder}/word_vocab")
+    sorted_.select(F.to_json(F.struct("word", F.col("rank").alias("id"))).alias("value")).write.mode("overwrite").text(f"{folder}/token2id")
