@@ -11,6 +11,7 @@ from corpusloom import schema
 from corpusloom.functions import text as tx
 from corpusloom.operators.grouped import ranked_values
 
+#: Time strides of encoders (fixed values).
 STRIDES = (4, 8, 16, 32)
 #: name -> number of labels of a raw text
 UNITS: dict[str, Callable[[Column], Column]] = {
@@ -18,6 +19,7 @@ UNITS: dict[str, Callable[[Column], Column]] = {
     "char_no_space": lambda t: F.length(tx.unspaced(t)),
     "char_with_space": F.length,
 }
+#: Characters a second from which a transcript is corrupt, and the range in which no violation may lie (fixed values).
 CORRUPT_RATE, AMBIGUOUS = 60.0, (50.0, 95.0)
 
 

@@ -10,7 +10,8 @@ from corpusloom.config import TokenizerConfig
 from corpusloom.functions import text as tx
 from corpusloom.operators.grouped import global_rank
 
-TOP = (100, 500, 1_000, 2_000, 5_000, 10_000, 20_000, 50_000, 80_000, 100_000, 130_000)
+#: Vocabulary sizes of the coverage curve (fixed values).
+TOP = (100, 250, 500, 1_000, 2_000, 5_000, 10_000, 20_000, 50_000, 100_000, 138_047)
 
 
 def symbol_counts(texts: DataFrame, config: TokenizerConfig = TokenizerConfig()) -> DataFrame:
