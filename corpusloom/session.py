@@ -72,13 +72,13 @@ def settle(df: DataFrame, name: str = "step", release: bool = False) -> DataFram
     """Write ``df`` once as a columnar table in the shared folder and read it back.
 
     It cuts the lineage like ``checkpoint()`` does, so a lost executor costs no recomputation of
-    what came before, and later steps read only the columns they need. With ``release`` the driver collects its garbage
-    then, so that Spark's cleaner removes the shuffle files of what was written now and not when memory runs short.
+    what came before, and later steps read only the columns they need. With ``release`` the driver first collects its
+    garbage, so that Spark's cleaner removes the shuffle files of earlier steps now and not when memory runs short.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     _WRITTEN.append(path)
-    df.write.option("compression", "zstd").parquet(path)
     if release:
         spark._jvm.System.gc()
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
