@@ -206,28 +206,24 @@ PAIRS = f"""ascii as (select utterance_id, row_id, array_to_string(list_filter({
   pairs as (select utterance_id, row_id, t as reference, lead(t) over (partition by utterance_id order by row_id) as hypothesis from ascii)"""
 
 
-def _pairs(spark, folder):
+def _next_rows(spark, folder):
     from pyspark.sql import Window
 
-    rows = records(spark, folder)
-    plain = F.array_join(F.filter(tx.words(F.col("text")), lambda w: w.rlike("^[ -~]+$")), " ")
     w = Window.partitionBy("utterance_id").orderBy("row_id")
-    return rows.select("utterance_id", "row_id", "split", plain.alias("reference"), F.lead(plain).over(w).alias("hypothesis")).where("hypothesis is not null")
+    rows = records(spark, folder).withColumn("hypothesis", F.lead("text").over(w)).where("hypothesis is not null")
+    return rows.withColumnRenamed("text", "reference")
 
 
 @add("token_error_rate", f"{WITH}, {PAIRS} select count(*) as utterances, cast(sum(levenshtein(reference, hypothesis)) as bigint) as token_errors, cast(sum(length(reference)) as bigint) as tokens from pairs where hypothesis is not null")
 def token_error_rate(spark, folder):
-    return de.error_rates(_pairs(spark, folder).withColumn("g", F.lit(0)), ["g"]).select("utterances", "token_errors", "tokens")
+    """Each utterance's whole transcript against that of its next row; the SQL states it for ASCII words only."""
+    return de.error_rates(_next_rows(spark, folder).withColumn("g", F.lit(0)), ["g"]).select("utterances", "token_errors", "tokens")
 
 
 @add("word_error_rate")
 def word_error_rate(spark, folder):
     """Each utterance's transcript against that of its next row."""
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("utterance_id").orderBy("row_id")
-    rows = records(spark, folder).withColumn("hypothesis", F.lead("text").over(w)).where("hypothesis is not null")
-    return de.error_rates(rows.withColumnRenamed("text", "reference"), ["split"])
+    return de.error_rates(_next_rows(spark, folder), ["split"])
 
 
 @add("char_lengths", f"{WITH} select row_id, length(text) as characters, length({UNSPACED}) as filled, len({WORDS}) as words from records")
