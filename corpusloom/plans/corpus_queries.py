@@ -164,8 +164,10 @@ def filename_parse(spark, folder):
 
 @add("relative_path", "select row_id, case when starts_with(audio_path, 'raw/') then substr(audio_path, 5) else audio_path end as path, list_last(string_split(audio_path, '/')) as filename from manifest where not contains(audio_path, '\\')")
 def relative_path(spark, folder):
-    rows = table(spark, folder, "manifest").where(~F.contains("audio_path", F.lit("\\")))
-    return rows.select("row_id", corpus.relative(F.col("audio_path"), "raw").alias("path"), F.element_at(F.split("audio_path", "/"), -1).alias("filename"))
+    """Of every row; the SQL states it for paths without backslash only. A row without path has neither path nor filename."""
+    path = F.col("audio_path")
+    name = F.element_at(F.split(F.regexp_replace(path, r"\\", "/"), "/"), -1)
+    return table(spark, folder, "manifest").select("row_id", corpus.relative(path, "raw").alias("path"), name.alias("filename"))
 
 
 @add("sha256_text", "select row_id, sha256(text) as sha256 from manifest")
