@@ -86,9 +86,9 @@ def split_rows(manifest: DataFrame, versions: DataFrame, seed: int = 11, cells:
     """(row_id, dataset_id, component, split) for every row.
 
     Rows tied by a speaker get one split. A component follows the ratios of the dataset most of its rows are in. Those with
-    more rows than half of the smallest split's share (at most a few dozen a dataset) are placed first, each in the split
+    more rows than half of the smallest split's share above 0 (at most a few dozen a dataset) are placed first, each in the split
     that lacks most; the others are hashed into ranges, whose ends are set so that the rows of ``cells`` hash cells fill what
-    is left of each split. A row without any speaker stands for itself. A dataset without version uses 0.9, 0.05, 0.05.
+    is left of each split. A split of ratio 0 gets no row. A row without any speaker stands for itself. A dataset without version uses 0.9, 0.05, 0.05.
     """
     spark = manifest.sparkSession
     rows = record_speakers(manifest).withColumn("node", F.coalesce("named", "speaker"))
@@ -101,26 +101,27 @@ def split_rows(manifest: DataFrame, versions: DataFrame, seed: int = 11, cells:
     ratios = latest_ratios(versions)
     plain = {"train": 0.9, "dev": 0.05, "test": 0.05}
     totals = {r["dataset"]: r["n"] for r in heads.groupBy("dataset").agg(F.sum("n").alias("n")).collect()}  # a row a dataset
-    limit = spark.createDataFrame([(d, n * min(ratios.get(d, plain).values()) / 2) for d, n in totals.items()], "dataset string, most double")
+    limit = spark.createDataFrame([(d, n * min(r for r in ratios.get(d, plain).values() if r > 0) / 2) for d, n in totals.items()], "dataset string, most double")
     heads = heads.join(limit, "dataset")
-    heavy = heads.where("n > most").select("component", "dataset", "n").collect()  # at most 2 / smallest ratio a dataset
+    heavy = heads.where("n > most").select("component", "dataset", "n").collect()  # at most 2 / smallest ratio above 0 a dataset
     cell = F.floor(F.col("u") * cells).cast("int").alias("cell")
     weights = heads.where("n <= most").groupBy("dataset", cell).agg(F.sum("n").alias("n")).collect()  # at most cells a dataset
     placed, ends = [], []
     for d, n in totals.items():
         want = {s: ratios.get(d, plain).get(s, 0.0) for s in SPLITS}
-        left = {s: n * want[s] / sum(want.values()) for s in SPLITS}
+        splits = [s for s in SPLITS if want[s] > 0]
+        left = {s: n * want[s] / sum(want.values()) for s in splits}
         for r in sorted((r for r in heavy if r["dataset"] == d), key=lambda r: (-r["n"], r["component"])):
-            s = max(SPLITS, key=lambda s: left[s])
+            s = max(splits, key=lambda s: left[s])
             left[s] -= r["n"]
             placed.append((r["component"], s))
         mine = sorted((r["cell"], r["n"]) for r in weights if r["dataset"] == d)
-        rest, k, run = [max(0.0, left[s]) for s in SPLITS], 0, 0.0
+        rest, k, run = [max(0.0, left[s]) for s in splits], 0, 0.0
         scale = sum(c for _, c in mine) / max(sum(rest), 1e-9)
         for at, c in mine:
-            while k < 2 and run + c / 2 > scale * sum(rest[: k + 1]):
+            while k < len(splits) - 1 and run + c / 2 > scale * sum(rest[: k + 1]):
                 k += 1
-            ends.append((d, at, SPLITS[k]))
+            ends.append((d, at, splits[k]))
             run += c
     by_cell = spark.createDataFrame(ends, "dataset string, cell int, split string")
     by_hand = spark.createDataFrame(placed, "component long, placed string")

@@ -82,3 +82,17 @@ def test_splits_keep_speakers_and_proportions(spark, manifest):
     one = {x.row_id: x.split for x in got.collect()}
     assert one[9000] == next(one[q["row_id"]] for q in rows if q.get("speaker_id") == "0000005")
     assert components.split_rows(manifest([]), versions(spark)).count() == 0
+
+
+@pytest.mark.parametrize("none", ["train", "dev", "test"])
+def test_a_split_of_ratio_0_gets_no_rows_and_no_heavy_components(spark, manifest, none, monkeypatch):
+    ratios = {k: 0.0 if k == none else v for k, v in {"train": 0.7, "dev": 0.3, "test": 0.3}.items()}
+    given = spark.createDataFrame([("d", "v1", k, v) for k, v in ratios.items()], "dataset_id string, dataset_version string, split string, ratio double")
+    rows = [{"row_id": i, "utterance_id": f"AB_{i // 5:07d}_{i:07d}", "speaker_id": f"{i // 5:07d}", "dataset_id": "d"} for i in range(2000)]
+    made, create = [], type(spark).createDataFrame
+    monkeypatch.setattr(type(spark), "createDataFrame", lambda self, data, schema: made.append((schema, data)) or create(self, data, schema))
+    df = manifest(rows)
+    got = {x.split: x.n for x in components.split_rows(df, given).groupBy("split").agg(F.count("*").alias("n")).collect()}
+    assert set(got) == set(ratios) - {none} and sum(got.values()) == 2000
+    assert all(abs(n / 2000 - ratios[k] / sum(ratios.values())) < 0.05 for k, n in got.items())
+    assert [len(d) for s, d in made if "placed" in s] == [0]  # no component is heavy
