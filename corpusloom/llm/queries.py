@@ -109,6 +109,11 @@ def p5_found(spark, folder):
     return overlap.overlap_pairs(table(spark, folder, "manifest"))
 
 
+@REGISTRY.add("p5_members")
+def p5_members(spark, folder):
+    return overlap.overlap_members(table(spark, folder, "manifest"))
+
+
 @REGISTRY.add("p5_report")
 def p5_report(spark, folder):
     return overlap.overlap_report(table(spark, folder, "manifest"))
