@@ -9,6 +9,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -54,12 +55,19 @@ def shared_folder(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 
 
-#: Tables that settle wrote in this process
+#: Tables that this process wrote
 _WRITTEN: list[str] = []
 
 
+def working_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, which sweep() deletes."""
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    _WRITTEN.append(path)
+    return path
+
+
 def sweep(spark: SparkSession) -> int:
-    """Deletes what settle wrote, for use when no result of it is needed any more; gives the number of tables."""
+    """Deletes what settle and working_path left, for use when no result of it is needed any more; gives the number of tables."""
     hadoop = spark.sparkContext._jsc.hadoopConfiguration()
     done = 0
     while _WRITTEN:
@@ -68,17 +76,19 @@ def sweep(spark: SparkSession) -> int:
     return done
 
 
-def settle(df: DataFrame, name: str = "step", release: bool = False) -> DataFrame:
+def settle(df: DataFrame, name: str = "step") -> DataFrame:
     """Write ``df`` once as a columnar table in the shared folder and read it back.
 
     It cuts the lineage like ``checkpoint()`` does, so a lost executor costs no recomputation of
-    what came before, and later steps read only the columns they need. With ``release`` the driver first collects its
-    garbage, so that Spark's cleaner removes the shuffle files of earlier steps now and not when memory runs short.
+    what came before, and later steps read only the columns they need.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    _WRITTEN.append(path)
-    if release:
-        spark._jvm.System.gc()
+    path = working_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def broadcast_small(df: DataFrame, rows: int = 200_000) -> DataFrame:
+    """A written table of a few numbers a row, marked to be broadcast if it has at most ``rows`` rows; a larger one is
+    joined as Spark sees fit."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
