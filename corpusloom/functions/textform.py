@@ -59,6 +59,8 @@ def _table() -> dict[tuple[str, str], str]:
 LOOK_ALIKE = _table()
 
 _PLAIN = re.compile("[\n -~ஂ-ௐఀ-౿]*")  # ASCII, Tamil without digits and length mark, Telugu
+#: What composition may change in such a text: parts of vowels that compose, and marks that may be out of order.
+_LOOSE = re.compile("[\u0bc6\u0bc7]\u0bbe|\u0c46[\u0c55\u0c56]|[\u0bcd\u0c3c\u0c4d\u0c55\u0c56]{2}")
 _INVISIBLE = regex.compile(r"[[\p{Cf}\p{Default_Ignorable_Code_Point}\p{Cc}]--[\t\n\x0b\x0c\r\x85]]+", regex.V1)
 _BLANK = regex.compile(r"[\p{White_Space}--[\n]]", regex.V1)
 _WORD = regex.compile(r"[\p{L}\p{M}\p{N}]+")
@@ -145,7 +147,7 @@ def consistent(text: str | None, word: Callable[[str], str] = repair_word) -> st
     if text is None:
         return None
     if _PLAIN.fullmatch(text):
-        return text if unicodedata.is_normalized("NFC", text) else unicodedata.normalize("NFC", text)
+        return unicodedata.normalize("NFC", text) if _LOOSE.search(text) else text
     text = fold(text)
     if _suspect(text):
         text = unicodedata.normalize("NFKC", _WORD.sub(lambda m: word(m[0]), text))

@@ -68,3 +68,15 @@ def test_scripts_of_every_kind(spark):
 def test_unknown_normal_form(spark):
     with pytest.raises(ValueError):
         tx.normalize_text(F.lit("a"), "NFX")
+
+
+def test_plain_texts_are_composed():
+    """Texts of plain characters against the normal form itself, pairs of them exhaustively."""
+    plain = [c for c in map(chr, range(0x110000)) if tf._PLAIN.fullmatch(c)]
+    marks = [c for c in plain if unicodedata.combining(c) or unicodedata.category(c) in ("Mn", "Mc")]
+    for a in plain:
+        for b in marks:
+            assert tf.consistent(a + b) == unicodedata.normalize("NFC", a + b)
+    for a in marks:
+        for b in marks:
+            assert tf.consistent("க" + a + b + "x") == unicodedata.normalize("NFC", "க" + a + b + "x")
