@@ -54,10 +54,12 @@ def zero_crossing_rate(samples: Column) -> Column:
     return F.when(n >= 2, F.aggregate(pairs, F.lit(0), lambda a, x: a + x) / n).otherwise(0.0)
 
 
-def frame_rms(samples: Column, frame: int = 400, hop: int = 160) -> Column:
-    """RMS of frames of ``frame`` samples every ``hop``; a rest shorter than a frame is dropped, a short clip is one frame."""
-    if frame <= 0 or hop <= 0:
+def frame_rms(samples: Column, frame: int | Column = 400, hop: int | Column = 160) -> Column:
+    """RMS of frames of ``frame`` samples every ``hop``, numbers or columns of them; a rest shorter than a frame is dropped,
+    a short clip is one frame."""
+    if any(isinstance(n, int) and n <= 0 for n in (frame, hop)):
         raise ValueError("frame and hop must be positive")
+    frame, hop = (F.lit(n) if isinstance(n, int) else n for n in (frame, hop))
     last = F.floor((F.size(samples) - frame) / hop).cast("int")
     many = F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda i: rms(F.slice(samples, i * hop + 1, frame)))
     one = F.array(rms(samples))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -9,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from corpusloom.config import StftConfig, VadConfig
+from corpusloom.config import SpeechRule, StftConfig
 
 FLOOR = 1e-12
 
@@ -59,8 +60,8 @@ def mel_to_hz(mel: np.ndarray, htk: bool = True) -> np.ndarray:
 @lru_cache(maxsize=16)
 def mel_bank(config: StftConfig = StftConfig()) -> np.ndarray:
     """(bins, mels): triangles of height 1 between evenly spaced mel edges."""
-    bins = np.linspace(0, config.sample_rate / 2, config.bins)[:, None]
-    edges = mel_to_hz(np.linspace(hz_to_mel(config.fmin), hz_to_mel(config.top), config.n_mels + 2))
+    bins = np.linspace(0, config.sample_rate / 2, config.n_fft // 2 + 1)[:, None]
+    edges = mel_to_hz(np.linspace(hz_to_mel(config.fmin), hz_to_mel(config.fmax), config.n_mels + 2))
     up = (bins - edges[:-2]) / (edges[1:-1] - edges[:-2])
     down = (edges[2:] - bins) / (edges[2:] - edges[1:-1])
     return np.maximum(0, np.minimum(up, down)).astype(np.float32)
@@ -83,7 +84,7 @@ def spectral_stats(x: np.ndarray, rate: int, config: StftConfig, rolloff: float
     if len(x) <= config.n_fft // 2:
         return 0.0, 0.0, 0.0, 0.0
     size = np.abs(stft(x, config)).astype(float)
-    hz = np.linspace(0, rate / 2, config.bins)
+    hz = np.linspace(0, rate / 2, config.n_fft // 2 + 1)
     total = np.maximum(size.sum(1), FLOOR)
     centre = (size * hz).sum(1) / total
     spread = np.sqrt((size * (hz - centre[:, None]) ** 2).sum(1) / total)
@@ -92,27 +93,70 @@ def spectral_stats(x: np.ndarray, rate: int, config: StftConfig, rolloff: float
     return float(centre.mean()), float(spread.mean()), float(edge.mean()), float(flatness(size).mean())
 
 
+@lru_cache(maxsize=32)
+def _filters(old: int, new: int, half: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """Windowed-sinc filters of all places a new sample can have between two old ones: (phases, taps), the old sample at which
+    each begins, and the taps before it."""
+    cut, step = min(1.0, new / old), math.gcd(old, new)
+    phases = np.arange(new // step) * old / new
+    first = np.floor(phases).astype(np.int64)
+    reach = math.ceil(half / cut)
+    off = np.arange(-reach, reach + 1) - (phases - first)[:, None]
+    return cut * np.sinc(cut * off) * (0.5 + 0.5 * np.cos(np.pi * np.clip(off / (reach + 1), -1, 1))), first, reach
+
+
 def resample(x: np.ndarray, old: int, new: int, half: int = 32) -> np.ndarray:
-    """Samples at another rate by a windowed-sinc filter; equal rates and empty clips come back untouched."""
+    """Samples at another rate by a windowed-sinc filter; equal rates and empty clips come back untouched.
+
+    New samples repeat their places between old ones, so there is one filter a place, applied to all its samples as views
+    of the clip: memory stays near the clip's own, whatever its length. Rates without a common divisor have many places.
+    """
     if old <= 0 or new <= 0:
         raise ValueError("rates must be positive")
     if old == new or not len(x):
         return x
-    n = int(np.ceil(len(x) * new / old))
-    cut = min(1.0, new / old)
-    at = np.arange(n) * old / new
-    first = np.floor(at).astype(int)
-    reach = int(np.ceil(half / cut))
-    taps = np.arange(-reach, reach + 1)
-    where = first[:, None] + taps
-    off = where - at[:, None]
-    kernel = cut * np.sinc(cut * off) * (0.5 + 0.5 * np.cos(np.pi * np.clip(off / (reach + 1), -1, 1)))
-    held = np.where((where >= 0) & (where < len(x)), np.asarray(x, float)[np.clip(where, 0, len(x) - 1)], 0.0)
-    return (held * kernel).sum(1).astype(np.float32)
-
-
-def _clips(batch: pa.RecordBatch):
-    return zip(batch.column(0).to_pylist(), (np.array(s or [], np.float32) for s in batch.column(1).to_pylist()), batch.column(2).to_pylist(), strict=True)
+    kernels, first, reach = _filters(old, new, half)
+    n, jump = -(-len(x) * new // old), old // math.gcd(old, new)
+    held = np.concatenate([np.zeros(reach), np.asarray(x, float), np.zeros(reach + jump)])
+    seen = np.lib.stride_tricks.sliding_window_view(held, 2 * reach + 1)
+    out = np.empty(n, np.float32)
+    for phase, (kernel, begin) in enumerate(zip(kernels[:n], first, strict=False)):
+        mine = out[phase :: len(kernels)]
+        for at in range(0, len(mine), 1 << 14):
+            part = mine[at : at + (1 << 14)]
+            start = begin + at * jump
+            part[:] = seen[start : start + (len(part) - 1) * jump + 1 : jump] @ kernel
+    return out
+
+
+def _clips(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, int]]:
+    """(utt, samples, rate) of a batch; samples are views of the batch's buffer. A null clip is empty."""
+    lists = batch.column(1)
+    ends, values = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False)
+    filled = lists.is_valid().to_numpy(zero_copy_only=False)
+    for i, (utt, rate) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True)):
+        yield utt, values[ends[i] : ends[i + 1]] if filled[i] else values[:0], rate
+
+
+def _lots(batches: Iterator[pa.RecordBatch], samples: int = 1 << 22) -> Iterator[list[tuple[int, np.ndarray, int]]]:
+    """Clips of the batches in lots of about so many samples; one clip may be longer."""
+    held: list[tuple[int, np.ndarray, int]] = []
+    size = 0
+    for batch in batches:
+        for clip in _clips(batch):
+            if held and size + len(clip[1]) > samples:
+                yield held
+                held, size = [], 0
+            held.append(clip)
+            size += len(clip[1])
+    if held:
+        yield held
+
+
+def _lists(rows: list[np.ndarray], kind: pa.DataType) -> pa.ListArray:
+    ends = np.cumsum([0, *map(len, rows)])
+    flat = np.concatenate(rows) if rows else np.zeros(0)
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, kind))
 
 
 def quality(clips: DataFrame, config: StftConfig | None = None) -> DataFrame:
@@ -131,11 +175,13 @@ def log_mel_frames(clips: DataFrame, config: StftConfig = StftConfig()) -> DataF
     """(utt, frame, mel): log-mel vectors; clips too short to transform have no frame."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for u, x, _ in _clips(batch):
-                if len(x) > config.n_fft // 2:
-                    m = log_mel(x, config)
-                    yield pa.record_batch({"utt": pa.array([u] * len(m), pa.int64()), "frame": pa.array(range(len(m)), pa.int32()), "mel": pa.array(m.astype(np.float32).tolist(), pa.list_(pa.float32()))})
+        for lot in _lots(batches):
+            made = [(u, log_mel(x, config)) for u, x, _ in lot if len(x) > config.n_fft // 2]
+            counts = [len(m) for _, m in made]
+            frames = np.concatenate([np.arange(n, dtype=np.int32) for n in counts]) if counts else np.zeros(0, np.int32)
+            flat = np.concatenate([m for _, m in made]).astype(np.float32) if made else np.zeros((0, config.n_mels), np.float32)
+            mels = pa.ListArray.from_arrays(pa.array(np.arange(len(flat) + 1) * config.n_mels, pa.int32()), pa.array(flat.ravel(), pa.float32()))
+            yield pa.record_batch({"utt": pa.array(np.repeat(np.array([u for u, _ in made], np.int64), counts)), "frame": pa.array(frames), "mel": mels})
 
     return clips.select("utt", "samples", "sample_rate").mapInArrow(run, "utt long, frame int, mel array<float>")
 
@@ -145,42 +191,51 @@ def resampled(clips: DataFrame, rate: int = 16_000) -> DataFrame:
     from pyspark.sql import functions as F
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            made = [resample(x, r, rate).tolist() for _, x, r in _clips(batch)]
-            yield pa.record_batch({"utt": batch.column(0), "samples": pa.array(made, pa.list_(pa.float32())), "sample_rate": pa.array([rate] * len(made), pa.int32())})
+        for lot in _lots(batches):
+            made = [resample(x, r, rate) for _, x, r in lot]
+            yield pa.record_batch({"utt": pa.array([u for u, _, _ in lot], pa.int64()), "samples": _lists(made, pa.float32()), "sample_rate": pa.array([rate] * len(made), pa.int32())})
 
     held = clips.select("utt", "samples", F.col("sample_rate").cast("int").alias("sample_rate"))
     other = held.where(F.col("sample_rate") != rate).mapInArrow(run, "utt long, samples array<float>, sample_rate int")
     return held.where(F.col("sample_rate") == rate).unionByName(other)
 
 
-def speech_frames(clips: DataFrame, config: VadConfig = VadConfig()) -> DataFrame:
-    """(utt, frame, energy_db, flatness): what the frame windows of ``operators.frames`` decide on."""
-    length, hop = round(config.frame_seconds * config.sample_rate), round(config.hop_seconds * config.sample_rate)
-    setting = StftConfig(sample_rate=config.sample_rate, win_length=length, hop_length=hop)
+def speech_frames(clips: DataFrame, rule: SpeechRule = SpeechRule()) -> DataFrame:
+    """(utt, frame, energy_db, flatness): what the frame windows of ``operators.frames`` decide on.
+
+    The transform has 512 points, or the next power of two if a frame is longer. Clips too short for it have no frame.
+    """
+    grid = rule.grid
+    size = max(512, 1 << (grid.frame - 1).bit_length())
+    setting = StftConfig(n_fft=size, sample_rate=grid.rate, win_length=grid.frame, hop_length=grid.hop)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for u, x, _ in _clips(batch):
-                power = np.abs(stft(x, setting)) ** 2
-                energy = 10 * np.log10(power.sum(1) + FLOOR)
-                n = len(energy)
-                yield pa.record_batch({"utt": pa.array([u] * n, pa.int64()), "frame": pa.array(range(n), pa.int32()), "energy_db": pa.array(energy.astype(float)), "flatness": pa.array(flatness(power).astype(float))})
+        for lot in _lots(batches):
+            made = [(u, np.abs(stft(x, setting)) ** 2) for u, x, _ in lot if len(x) > size // 2]
+            counts = [len(p) for _, p in made]
+            every = np.concatenate([p for _, p in made]) if made else np.ones((0, size // 2 + 1), np.float32)
+            frames = np.concatenate([np.arange(n, dtype=np.int32) for n in counts]) if counts else np.zeros(0, np.int32)
+            yield pa.record_batch(
+                {
+                    "utt": pa.array(np.repeat(np.array([u for u, _ in made], np.int64), counts)), "frame": pa.array(frames),
+                    "energy_db": pa.array((10 * np.log10(every.sum(1) + FLOOR)).astype(float)), "flatness": pa.array(flatness(every).astype(float)),
+                }
+            )
 
     return clips.select("utt", "samples", "sample_rate").mapInArrow(run, "utt long, frame int, energy_db double, flatness double")
 
 
-def detect_speech(clips: DataFrame, config: VadConfig = VadConfig()) -> DataFrame:
+def detect_speech(clips: DataFrame, rule: SpeechRule = SpeechRule()) -> DataFrame:
     """(utt, frame, is_speech): energy above the noise floor and not flat, smoothed, held over and cleared of short runs."""
     from pyspark.sql import functions as F
 
     from corpusloom.operators import frames as fr
 
-    raw = fr.threshold(speech_frames(clips, config), "energy_db", config.noise_percentile, config.margin_db)
-    if config.use_spectral:
-        raw = raw.withColumn("is_speech", F.col("is_speech") & (F.col("flatness") < config.flatness_max))
+    raw = fr.threshold(speech_frames(clips, rule), "energy_db", rule.floor, rule.above)
+    if rule.flattest is not None:
+        raw = raw.withColumn("is_speech", F.col("is_speech") & (F.col("flatness") < rule.flattest))
     raw = raw.select("utt", "frame", "is_speech")
-    return fr.drop_short(fr.hangover(fr.majority(raw, config.smooth), config.hangover), config.min_speech)
+    return fr.drop_short(fr.hangover(fr.majority(raw, rule.vote), rule.hold), rule.shortest)
 
 
 def magnitude(spectrum: np.ndarray) -> np.ndarray:
@@ -211,10 +266,8 @@ def quality_report(clips: DataFrame, frame: float = 0.025, hop: float = 0.010, s
     x, sr = F.col("samples"), F.col("sample_rate")
     held = lv.loudness(clips.select("utt", "samples", "sample_rate"))
     held = held.withColumns({"duration": F.size(x) / sr, "num_samples": F.size(x), "zero_crossing_rate": lv.zero_crossing_rate(x)})
-    rates = [r[0] for r in clips.select("sample_rate").distinct().limit(1000).collect()]  # rates of devices: a few
-    levels = F.lit(None).cast("array<double>")
-    for r in rates:
-        levels = F.when(sr == r, lv.frame_rms(x, round(frame * r), round(hop * r))).otherwise(levels)
+    whole = lambda seconds: F.greatest(F.bround(sr * seconds), F.lit(1)).cast("int")
+    levels = lv.frame_rms(x, whole(frame), whole(hop))
     held = held.withColumn("_db", F.transform(levels, lv.dbfs))
     finite = F.array_sort(F.filter("_db", lambda v: v > float("-inf")))
     held = held.withColumn("_finite", finite)

@@ -153,6 +153,32 @@ def test_resampling_keeps_the_tone(rate):
     assert np.abs(got[500:-500] - sine(len(got))[500:-500]).max() < 0.01
 
 
+@pytest.mark.parametrize("rates", [(8_000, 16_000), (22_050, 16_000), (48_000, 16_000), (16_000, 22_050), (11_025, 16_000), (7, 3)])
+def test_resampling_in_blocks_is_the_plain_sum(rates):
+    """Each new sample as a sum over all filter taps, written out."""
+    old, new = rates
+    x = np.random.default_rng(3).normal(0, 0.2, 700).astype(np.float32)
+    cut = min(1.0, new / old)
+    reach = math.ceil(32 / cut)
+    want = []
+    for k in range(-(-len(x) * new // old)):
+        at = k * old / new
+        total = 0.0
+        for i in range(math.floor(at) - reach, math.floor(at) + reach + 1):
+            if 0 <= i < len(x):
+                off = i - at
+                total += x[i] * cut * np.sinc(cut * off) * (0.5 + 0.5 * math.cos(math.pi * min(1.0, abs(off) / (reach + 1))))
+        want.append(total)
+    got = sp.resample(x, old, new)
+    assert len(got) == len(want) and np.abs(got - np.array(want)).max() < 1e-5
+    assert len(sp.resample(x[:0], old, new)) == 0
+
+
+def test_settings_fill_in_what_is_not_given():
+    assert config.StftConfig(sample_rate=8_000).fmax == 4_000 and config.frame_length(0.025, 16_000) == 400 and config.frame_length(2.5, 1) == 2
+    assert config.Grid.of(8_000, 0.025, 0.010) == config.Grid(8_000, 200, 80)
+
+
 def test_speech_is_found_between_silence(spark):
     rng = np.random.default_rng(1)
     noise = lambda n: rng.normal(0, 1e-4, n)
@@ -246,7 +272,7 @@ def test_error_rates(spark):
 @pytest.mark.parametrize(
     "make",
     [
-        lambda: config.StftConfig(win_length=600), lambda: config.StftConfig(hop_length=0), lambda: config.StftConfig(window="box"), lambda: config.VadConfig(noise_percentile=101),
+        lambda: config.StftConfig(win_length=600), lambda: config.StftConfig(hop_length=0), lambda: config.StftConfig(window="box"), lambda: config.SpeechRule(floor=101), lambda: config.SpeechRule(flattest=-1.0), lambda: config.SpeechRule(hold=-1), lambda: config.Grid(hop=0), lambda: config.StftConfig(fmax=20_000.0), lambda: config.StftConfig(fmin=-1.0), lambda: config.frame_length(0.0, 16_000), lambda: config.frame_length(1.0, -1), lambda: config.frame_length(1e-9, 16_000),
         lambda: config.SegmentConfig(gap=-1), lambda: config.TokenizerConfig(form="NFX"), lambda: config.TokenizerConfig(min_frequency=0), lambda: config.SplitRatios(0.5, 0.5, 0.5), lambda: config.SplitRatios(1.0, 0.0, 0.0),
     ],
 )
