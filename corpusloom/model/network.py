@@ -87,6 +87,46 @@ def score(features: DataFrame, network: Network) -> DataFrame:
     return features.select("utt", "mels").mapInArrow(run, "utt long, tokens array<int>")
 
 
+class LengthError(ValueError):
+    """A model makes another number of frames than its shape says."""
+
+
+def verify_lengths(network: Network, lengths: list[int]) -> None:
+    """Holds the shape's arithmetic against what the layers make of silent clips of these lengths: each alone, and the
+    longest as all of a padded batch are. No lengths, or a difference, raise LengthError with both numbers."""
+    if not lengths:
+        raise LengthError("there are no lengths to try")
+    for frames in sorted(set(lengths)):
+        said, made = network.shape.lengths(frames), len(network.logits(np.zeros((frames, network.shape.mels), np.float32)))
+        if said != made:
+            raise LengthError(f"of {frames} frames {said} should be left, the layers leave {made}")
+
+
+def examples(features: DataFrame, encoded: DataFrame, key: str = "utt") -> DataFrame:
+    """(key, mels, labels, frames, label_count): what a model is trained on, rows that have both features and labels.
+
+    features: key, mels (array of frames); encoded: key, ids.
+    """
+    both = features.select(key, "mels").join(encoded.select(key, F.col("ids").alias("labels")), key)
+    return both.where("size(mels) > 0 and size(labels) > 0").withColumns({"frames": F.size("mels"), "label_count": F.size("labels")})
+
+
+def collated(rows: DataFrame, size: int, mels: int, blank: int = 0, key: str = "utt") -> DataFrame:
+    """Adds batch, and fills mels with silent frames and labels with the blank up to the longest of the batch.
+
+    A batch holds ``size`` examples of nearly the same length, in order of (frames, key), so little is filled up.
+    """
+    from pyspark.sql import Window
+
+    from corpusloom.operators.grouped import global_rank
+
+    ranked = global_rank(rows, [F.col("frames"), F.col(key)], "_rank").withColumn("batch", F.expr(f"(_rank - 1) div {size}"))
+    w = Window.partitionBy("batch")
+    held = ranked.withColumns({"_f": F.max("frames").over(w), "_l": F.max("label_count").over(w)})
+    silent = F.array_repeat(F.array_repeat(F.lit(0.0).cast("float"), mels), F.col("_f") - F.col("frames"))
+    return held.withColumns({"mels": F.concat("mels", silent), "labels": pad_labels(F.col("labels"), F.col("_l"), blank)}).drop("_rank", "_f", "_l")
+
+
 def pad_labels(labels: Column, length: Column, blank: int = 0) -> Column:
     """An array filled up to ``length`` with the blank."""
     return F.concat(labels, F.array_repeat(F.lit(blank), F.greatest(length - F.size(labels), F.lit(0))))

@@ -48,6 +48,16 @@ def error_rates(pairs: DataFrame, by: list[str], include_space: bool = True) ->
     return out.withColumn("token_error_rate", F.when(F.col("tokens") > 0, F.col("token_errors") / F.col("tokens")).otherwise(1.0))
 
 
+#: Largest token error rate and loss of an accepted run (fixed values).
+ACCEPTED_ERRORS, ACCEPTED_LOSS = 0.10, 1.0
+
+
+def accepted(error_rate: Column, loss: Column | None = None) -> Column:
+    """Whether a run is accepted by its token error rate and, if given, its loss; a null figure is not accepted."""
+    ok = F.coalesce(error_rate <= ACCEPTED_ERRORS, F.lit(False))
+    return ok if loss is None else ok & F.coalesce(loss <= ACCEPTED_LOSS, F.lit(False))
+
+
 def argmax(scores: Column) -> Column:
     """Index from 0 of the largest of an array of scores, the first of equal ones."""
     return (F.array_position(scores, F.array_max(scores)) - 1).cast("int")

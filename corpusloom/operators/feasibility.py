@@ -84,6 +84,25 @@ def violations(rows: DataFrame, unit: str, stride: int = 4) -> DataFrame:
     return labelled(rows, unit, stride).where("reason is not null")
 
 
+def training_guards(rows: DataFrame, unit: str = "char_with_space", stride: int = 4) -> DataFrame:
+    """(name, ok, detail): rows with fewer encoder frames than labels, and rows without any label, of a training set.
+
+    ``manifest.enforce`` raises if there are any.
+    """
+    held = labelled(rows, unit, stride).agg(F.count_if(F.col("reason").isNotNull()).alias("starved"), F.count_if(F.col("labels") == 0).alias("empty"))
+    pairs = F.array(F.struct(F.lit("no row is starved of frames").alias("name"), F.col("starved").alias("detail")), F.struct(F.lit("no row is without labels").alias("name"), F.col("empty").alias("detail")))
+    return held.select(F.explode(pairs).alias("c")).select("c.name", (F.col("c.detail") == 0).alias("ok"), "c.detail")
+
+
+def length_probe(lengths: DataFrame, most: int = 12) -> DataFrame:
+    """(frames): the distinct lengths to try a model on: the shortest and the longest, ``most`` in all, or all if they are
+    no more."""
+    distinct = lengths.select("frames").distinct()
+    ends = distinct.orderBy("frames").limit(most // 2).unionByName(distinct.orderBy(F.col("frames").desc()).limit(most // 2))
+    few = distinct.limit(most + 1).count() <= most
+    return distinct if few else ends.distinct()
+
+
 def corrupt(rows: DataFrame, unit: str = "char_no_space") -> DataFrame:
     return violations(rows, unit).where("reason = 'corrupt_transcript'")
 

@@ -102,6 +102,42 @@ def overlaps(left: DataFrame, right: DataFrame, width: float = 5.0) -> DataFrame
     return met.groupBy("utt").agg(F.sum(F.least("ae", "be") - F.greatest("as", "bs")).alias("seconds"))
 
 
+def touching(start: Column, end: Column, other_start: Column, other_end: Column, tolerance: float = 0.0) -> Column:
+    """Whether two segments overlap or are at most ``tolerance`` apart; ends belong to a segment."""
+    return (start <= other_end + tolerance) & (other_start <= end + tolerance)
+
+
+def frame_times(frame: Column, hop: int, rate: int) -> Column:
+    """The second at which a frame begins."""
+    return frame * (hop / rate)
+
+
+def agreement(found: DataFrame, truth: DataFrame, margin: float = 0.0, rate: int = 16_000, width: float = 5.0) -> DataFrame:
+    """(utt, coverage, leakage, beyond): how detected segments agree with true ones, counted in samples.
+
+    coverage is the share of true samples that are detected (0 without any), leakage the share of detected samples that
+    are not true, beyond that of detected samples further than ``margin`` seconds from any true one (1 without detected
+    ones). Segments are seconds and are cut to whole samples downwards; those of one side may overlap.
+    """
+
+    def samples(df: DataFrame, more: float = 0.0) -> DataFrame:
+        cut = df.select("utt", F.floor(F.greatest(F.col("start") - more, F.lit(0.0)) * rate).alias("start"), F.floor((F.col("end") + more) * rate).alias("end"))
+        return merge(cut.where("end > start"), 0)
+
+    size = lambda df, name: df.groupBy("utt").agg(F.sum(F.col("end") - F.col("start")).alias(name))
+    shared = lambda a, b, name: overlaps(a, b, width * rate).withColumnRenamed("seconds", name)
+    seen, real = samples(found), samples(truth)
+    out = found.select("utt").unionByName(truth.select("utt")).distinct()
+    for part in (size(seen, "seen"), size(real, "real"), shared(seen, real, "both"), shared(seen, samples(truth, margin), "near")):
+        out = out.join(part, "utt", "left")
+    out = out.fillna(0, ["seen", "real", "both", "near"])
+    share = lambda a, b, none: F.when(b > 0, a / b).otherwise(F.lit(none))
+    return out.select(
+        "utt", share(F.col("both"), F.col("real"), 0.0).alias("coverage"), share(F.col("seen") - F.col("both"), F.col("seen"), 1.0).alias("leakage"),
+        share(F.col("seen") - F.col("near"), F.col("seen"), 1.0).alias("beyond"),
+    )
+
+
 def greedy_decode(steps: DataFrame, blank: int = 0) -> DataFrame:
     """(utt, ids): tokens (utt, frame, token) without repeats of the step before and without blanks, in order."""
     kept = steps.withColumn("_b", F.lag("token", 1, -1).over(_order())).where((F.col("token") != F.col("_b")) & (F.col("token") != blank))

@@ -80,22 +80,38 @@ def ranked_values(df: DataFrame, keys: list[str], value: str, ranks: dict[str, s
     return values.groupBy(*keys, "n").agg(*[F.max(F.when(inside(rank), F.col("_v"))).alias(name) for name, rank in ranks.items()])
 
 
-def global_rank(df: DataFrame, order: list[Column], name: str = "rank") -> DataFrame:
-    """Adds the rank from 1 in ``order``, which must be total, by a range-partitioned sort.
-
-    The sorted rows are written once with their places; only one count per partition is then summed up.
-    """
+def _sorted_pieces(df: DataFrame, order: list[Column], weight: Column) -> DataFrame:
+    """Rows range-partitioned and sorted by ``order``, written once, with their piece (_part), their place in it (_at) and
+    the weight of all pieces before (_start)."""
     from pyspark.sql import types as T
 
     from corpusloom.session import settle
 
     placed = settle(df.orderBy(*order).withColumn("_m", F.monotonically_increasing_id()), "ranked")
-    placed = placed.withColumns({"_part": F.shiftright("_m", 33), "_at": F.col("_m").bitwiseAND(F.lit((1 << 33) - 1))})
-    sizes = {r["_part"]: r["n"] for r in placed.groupBy("_part").agg(F.count("*").alias("n")).collect()}  # a row a partition
+    placed = placed.withColumns({"_part": F.shiftright("_m", 33), "_at": F.col("_m").bitwiseAND(F.lit((1 << 33) - 1))}).drop("_m")
+    sizes = {r["_part"]: r["n"] for r in placed.groupBy("_part").agg(F.sum(weight).alias("n")).collect()}  # a row a partition
     starts, at = [], 0
     for part in sorted(sizes):
         starts.append((part, at))
         at += sizes[part]
     kinds = T.StructType([T.StructField("_part", T.LongType()), T.StructField("_start", T.LongType())])
-    first = df.sparkSession.createDataFrame(starts, kinds)
-    return placed.join(F.broadcast(first), "_part").withColumn(name, F.col("_start") + F.col("_at") + 1).drop("_m", "_part", "_at", "_start")
+    return placed.join(F.broadcast(df.sparkSession.createDataFrame(starts, kinds)), "_part")
+
+
+def global_rank(df: DataFrame, order: list[Column], name: str = "rank") -> DataFrame:
+    """Adds the rank from 1 in ``order``, which must be total, by a range-partitioned sort.
+
+    The sorted rows are written once with their places; only one count per partition is then summed up.
+    """
+    placed = _sorted_pieces(df, order, F.lit(1))
+    return placed.withColumn(name, F.col("_start") + F.col("_at") + 1).drop("_part", "_at", "_start")
+
+
+def global_sum(df: DataFrame, order: list[Column], weight: Column, name: str) -> DataFrame:
+    """Adds the running sum of ``weight`` (whole numbers) in ``order``, which must be total, by a range-partitioned sort.
+
+    A value that many rows have is cut where its rows differ in what else ``order`` names.
+    """
+    placed = _sorted_pieces(df, order, weight)
+    inner = F.sum(weight).over(Window.partitionBy("_part").orderBy("_at"))
+    return placed.withColumn(name, F.col("_start") + inner).drop("_part", "_at", "_start")

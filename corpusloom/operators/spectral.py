@@ -26,8 +26,8 @@ def window(name: str, n: int) -> np.ndarray:
     return a - b * np.cos(2 * np.pi * np.arange(n) / n)
 
 
-def stft(x: np.ndarray, config: StftConfig = StftConfig()) -> np.ndarray:
-    """(frames, bins), complex64; centred frames see the signal mirrored at its ends."""
+def _spectrum(x: np.ndarray, config: StftConfig) -> np.ndarray:
+    """(frames, bins) in double precision; centred frames see the signal mirrored at its ends."""
     x = np.asarray(x, np.float32)
     if x.ndim != 1 or not len(x):
         raise ValueError("a waveform is one filled row of samples")
@@ -35,11 +35,18 @@ def stft(x: np.ndarray, config: StftConfig = StftConfig()) -> np.ndarray:
         if len(x) <= config.n_fft // 2:
             raise ValueError("the waveform is too short for centred frames")
         x = np.pad(x, config.n_fft // 2, mode="reflect")
+    elif len(x) < config.n_fft:
+        raise ValueError("the waveform is shorter than a frame")
     w = np.zeros(config.n_fft)
     at = (config.n_fft - config.win_length) // 2
     w[at : at + config.win_length] = window(config.window, config.win_length)
     frames = np.lib.stride_tricks.sliding_window_view(x, config.n_fft)[:: config.hop_length]
-    return np.fft.rfft(frames * w, axis=1).astype(np.complex64)
+    return np.fft.rfft(frames * w, axis=1)
+
+
+def stft(x: np.ndarray, config: StftConfig = StftConfig()) -> np.ndarray:
+    """(frames, bins), complex64."""
+    return _spectrum(x, config).astype(np.complex64)
 
 
 def hz_to_mel(hz: np.ndarray, htk: bool = True) -> np.ndarray:
@@ -58,19 +65,24 @@ def mel_to_hz(mel: np.ndarray, htk: bool = True) -> np.ndarray:
 
 
 @lru_cache(maxsize=16)
-def mel_bank(config: StftConfig = StftConfig()) -> np.ndarray:
-    """(bins, mels): triangles of height 1 between evenly spaced mel edges."""
+def _triangles(config: StftConfig) -> np.ndarray:
     bins = np.linspace(0, config.sample_rate / 2, config.n_fft // 2 + 1)[:, None]
     edges = mel_to_hz(np.linspace(hz_to_mel(config.fmin), hz_to_mel(config.fmax), config.n_mels + 2))
     up = (bins - edges[:-2]) / (edges[1:-1] - edges[:-2])
     down = (edges[2:] - bins) / (edges[2:] - edges[1:-1])
-    return np.maximum(0, np.minimum(up, down)).astype(np.float32)
+    return np.maximum(0, np.minimum(up, down))
+
+
+def mel_bank(config: StftConfig = StftConfig()) -> np.ndarray:
+    """(bins, mels): triangles of height 1 between evenly spaced mel edges."""
+    return _triangles(config).astype(np.float32)
 
 
 def log_mel(x: np.ndarray, config: StftConfig = StftConfig(), epsilon: float = 1e-6) -> np.ndarray:
+    """(frames, mels), float32, worked out in double precision."""
     if epsilon <= 0:
         raise ValueError("epsilon must be positive")
-    return np.log((np.abs(stft(x, config)) ** 2) @ mel_bank(config) + epsilon)
+    return np.log(power(_spectrum(x, config)) @ _triangles(config) + epsilon).astype(np.float32)
 
 
 def flatness(spectrum: np.ndarray) -> np.ndarray:
@@ -83,7 +95,7 @@ def spectral_stats(x: np.ndarray, rate: int, config: StftConfig, rolloff: float
     """Centroid, bandwidth and roll-off in Hz and flatness, means over frames; 0 for clips too short to transform."""
     if len(x) <= config.n_fft // 2:
         return 0.0, 0.0, 0.0, 0.0
-    size = np.abs(stft(x, config)).astype(float)
+    size = np.abs(_spectrum(x, config))
     hz = np.linspace(0, rate / 2, config.n_fft // 2 + 1)
     total = np.maximum(size.sum(1), FLOOR)
     centre = (size * hz).sum(1) / total
@@ -200,20 +212,20 @@ def resampled(clips: DataFrame, rate: int = 16_000) -> DataFrame:
     return held.where(F.col("sample_rate") == rate).unionByName(other)
 
 
-def speech_frames(clips: DataFrame, rule: SpeechRule = SpeechRule()) -> DataFrame:
+def speech_frames(clips: DataFrame, rule: SpeechRule = SpeechRule(), points: int = 512) -> DataFrame:
     """(utt, frame, energy_db, flatness): what the frame windows of ``operators.frames`` decide on.
 
-    The transform has 512 points, or the next power of two if a frame is longer. Clips too short for it have no frame.
+    The transform has ``points`` points, or the next power of two if a frame is longer. Clips too short for it have no frame.
     """
     grid = rule.grid
-    size = max(512, 1 << (grid.frame - 1).bit_length())
+    size = max(points, 1 << (grid.frame - 1).bit_length())
     setting = StftConfig(n_fft=size, sample_rate=grid.rate, win_length=grid.frame, hop_length=grid.hop)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lot in _lots(batches):
-            made = [(u, np.abs(stft(x, setting)) ** 2) for u, x, _ in lot if len(x) > size // 2]
+            made = [(u, power(_spectrum(x, setting))) for u, x, _ in lot if len(x) > size // 2]
             counts = [len(p) for _, p in made]
-            every = np.concatenate([p for _, p in made]) if made else np.ones((0, size // 2 + 1), np.float32)
+            every = np.concatenate([p for _, p in made]) if made else np.ones((0, size // 2 + 1))
             frames = np.concatenate([np.arange(n, dtype=np.int32) for n in counts]) if counts else np.zeros(0, np.int32)
             yield pa.record_batch(
                 {
@@ -225,13 +237,13 @@ def speech_frames(clips: DataFrame, rule: SpeechRule = SpeechRule()) -> DataFram
     return clips.select("utt", "samples", "sample_rate").mapInArrow(run, "utt long, frame int, energy_db double, flatness double")
 
 
-def detect_speech(clips: DataFrame, rule: SpeechRule = SpeechRule()) -> DataFrame:
+def detect_speech(clips: DataFrame, rule: SpeechRule = SpeechRule(), points: int = 512) -> DataFrame:
     """(utt, frame, is_speech): energy above the noise floor and not flat, smoothed, held over and cleared of short runs."""
     from pyspark.sql import functions as F
 
     from corpusloom.operators import frames as fr
 
-    raw = fr.threshold(speech_frames(clips, rule), "energy_db", rule.floor, rule.above)
+    raw = fr.threshold(speech_frames(clips, rule, points), "energy_db", rule.floor, rule.above)
     if rule.flattest is not None:
         raw = raw.withColumn("is_speech", F.col("is_speech") & (F.col("flatness") < rule.flattest))
     raw = raw.select("utt", "frame", "is_speech")

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom import schema
@@ -21,12 +24,16 @@ def symbol_counts(texts: DataFrame, config: TokenizerConfig = TokenizerConfig())
 
 
 def vocabulary(texts: DataFrame, config: TokenizerConfig = TokenizerConfig()) -> DataFrame:
-    """(id, symbol, count): kept symbols by falling count, then code point; ids from 2 (0 blank, 1 unknown)."""
+    """(id, symbol, count): kept symbols by falling count, then code point; ids from 2 (0 blank, 1 unknown).
+
+    The order is made in one task over the distinct symbols, which Unicode bounds.
+    """
     kept = symbol_counts(texts, config).where(F.col("count") >= config.min_frequency)
-    ranked = global_rank(kept, [F.col("count").desc(), F.col("symbol")])
+    rank = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.col("count").desc(), "symbol"))
+    ranked = kept.withColumn("id", (rank + schema.UNKNOWN).cast("long"))
     if config.max_symbols is not None:
-        ranked = ranked.where(F.col("rank") <= config.max_symbols)
-    return ranked.select((F.col("rank") + schema.UNKNOWN).alias("id"), "symbol", "count")
+        ranked = ranked.where(F.col("id") <= config.max_symbols + schema.UNKNOWN)
+    return ranked.select("id", "symbol", "count")
 
 
 def word_counts(texts: DataFrame, normal: bool = False) -> DataFrame:
@@ -34,38 +41,83 @@ def word_counts(texts: DataFrame, normal: bool = False) -> DataFrame:
     return texts.select(F.explode(tx.words(text)).alias("word")).groupBy("word").count()
 
 
-def word_ranks(texts: DataFrame) -> DataFrame:
-    """(word, count, rank): words by falling count, then code points, ranked from 1."""
-    return global_rank(word_counts(texts), [F.col("count").desc(), F.col("word")])
+def word_ranks(texts: DataFrame, ties: str = "word") -> DataFrame:
+    """(word, count, rank): words by falling count, ranked from 1; of equal counts in order of code points, or with ties
+    ``first`` in that of their first places (row_id, then place in the text)."""
+    if ties not in ("word", "first"):
+        raise ValueError("ties are broken by word or by first place")
+    if ties == "word":
+        return global_rank(word_counts(texts), [F.col("count").desc(), F.col("word")])
+    placed = texts.select("row_id", F.posexplode(tx.words(F.col("text"))).alias("place", "word"))
+    held = placed.groupBy("word").agg(F.count("*").alias("count"), F.min(F.struct("row_id", "place")).alias("first"))
+    return global_rank(held, [F.col("count").desc(), F.col("first.row_id"), F.col("first.place")]).select("word", "count", "rank")
+
+
+def word_ids(ranks: DataFrame) -> DataFrame:
+    """(id, word): 0 is the blank, words have their ranks, and the id after the last word is the unknown word ``<unk>``."""
+    known = ranks.select(F.col("rank").alias("id"), "word")
+    unknown = ranks.agg((F.coalesce(F.max("rank"), F.lit(0)) + 1).alias("id")).select("id", F.lit("<unk>").alias("word"))
+    return known.unionByName(unknown)
+
+
+def held_symbols(vocab: DataFrame) -> dict[int, str]:
+    """id -> symbol of a character vocabulary, which Unicode bounds to 1.1 million symbols.
+
+    Symbols are single code points, none twice, with ids from 2 on without gaps; else ValueError is raised.
+    """
+    rows = {int(r["id"]): r["symbol"] for r in vocab.select("id", "symbol").collect()}
+    if any(len(s) != 1 for s in rows.values()) or len(set(rows.values())) != len(rows):
+        raise ValueError("symbols must be single code points, each of them once")
+    if rows and (min(rows), max(rows)) != (schema.UNKNOWN + 1, schema.UNKNOWN + len(rows)):
+        raise ValueError("ids must run from 2 without gaps")
+    return rows
+
 
+def _encoder(symbols: dict[int, str]):
+    points = np.array([ord(s) for s in symbols.values()], np.int64)
+    numbers = np.array(list(symbols), np.int32)
 
-def symbol_map(vocab: DataFrame) -> Column:
-    """symbol -> id as a literal map. A character inventory is bounded by Unicode; real ones hold some thousand symbols."""
-    pairs = [(r["symbol"], r["id"]) for r in vocab.select("symbol", "id").collect()]
-    if len(pairs) > 100_000:
-        raise ValueError("this is no character vocabulary")
-    if not pairs:
-        return F.create_map().cast("map<string,int>")
-    return F.map_from_arrays(F.lit([s for s, _ in pairs]), F.lit([int(i) for _, i in pairs]))
+    @F.arrow_udf("array<int>")
+    def run(text: pa.Array) -> pa.Array:
+        table = np.full(int(points.max(initial=0)) + 2, schema.UNKNOWN, np.int32)
+        table[points] = numbers
+        held = text.to_pylist()
+        counts = np.cumsum([0, *(len(t) if t else 0 for t in held)])
+        codes = np.frombuffer("".join(t for t in held if t).encode("utf-32-le"), np.uint32)
+        made = pa.ListArray.from_arrays(pa.array(counts, pa.int32()), pa.array(table[np.minimum(codes, len(table) - 1)]))
+        return pc.if_else(pc.is_valid(text), made, pa.scalar(None, pa.list_(pa.int32())))
+
+    return run
 
 
 def encode(texts: DataFrame, vocab: DataFrame, config: TokenizerConfig = TokenizerConfig()) -> DataFrame:
-    """Adds ids (array of int, one a code point of the prepared text; 1 for unknown) and unknown (how many)."""
+    """Adds ids (array of int, one a code point of the prepared text; 1 for unknown), unknown (how many) and
+    unknown_symbols (which, each once, in order). A null text has none of them."""
+    run = _encoder(held_symbols(vocab))
     held = texts.withColumn("_p", tx.prepare_text(F.col("text"), config.form, config.include_space))
-    mapped = symbol_map(vocab)
-    ids = F.transform(tx.characters(F.col("_p")), lambda c: F.coalesce(F.try_element_at(mapped, c).cast("int"), F.lit(schema.UNKNOWN)))
-    return held.withColumn("ids", ids).withColumn("unknown", F.size(F.filter("ids", lambda i: i == schema.UNKNOWN))).drop("_p")
+    held = held.withColumn("ids", run("_p")).withColumn("unknown", F.size(F.filter("ids", lambda i: i == schema.UNKNOWN)))
+    pairs = F.arrays_zip(tx.characters(F.col("_p")).alias("c"), F.col("ids").alias("i"))
+    odd = F.array_sort(F.array_distinct(F.transform(F.filter(pairs, lambda z: z["i"] == schema.UNKNOWN), lambda z: z["c"])))
+    return held.withColumn("unknown_symbols", F.when(F.col("unknown") > 0, odd).when(F.col("unknown") == 0, F.array().cast("array<string>"))).drop("_p")
 
 
 def decode(ids: Column, vocab: DataFrame, keep_unknown: str | None = None) -> Column:
     """The text of an id array: blanks dropped, unknowns dropped or written as ``keep_unknown``; other ids raise."""
-    names = {int(r["id"]): r["symbol"] for r in vocab.select("symbol", "id").collect()}
-    back = F.map_from_arrays(F.lit(list(names)), F.lit(list(names.values()))) if names else F.create_map().cast("map<int,string>")
-    unknown = F.lit(keep_unknown or "")
-    one = lambda i: F.when(i == schema.BLANK, "").when(i == schema.UNKNOWN, unknown).otherwise(
-        F.coalesce(F.try_element_at(back, i), F.raise_error(F.concat(F.lit("no symbol has id "), i.cast("string"))))
-    )
-    return F.array_join(F.transform(ids, one), "")
+    names = held_symbols(vocab) | {schema.BLANK: "", schema.UNKNOWN: keep_unknown or ""}
+
+    @F.arrow_udf("string")
+    def run(held: pa.Array) -> pa.Array:
+        try:
+            return pa.array([None if r is None else "".join(names[i] for i in r) for r in held.to_pylist()], pa.string())
+        except KeyError as error:
+            raise ValueError(f"no symbol has id {error}") from None
+
+    return run(ids)
+
+
+def is_normalized(text: Column, form: str = "NFC") -> Column:
+    """Whether a text is its own normal form; null for null."""
+    return tx.normalize_text(text, form) == text
 
 
 def decode_words(text: Column, include_space: bool = True) -> Column:
@@ -113,14 +165,17 @@ def unknown_rate(rows: DataFrame, vocab: DataFrame, config: TokenizerConfig = To
 
 
 def character_stats(rows: DataFrame) -> DataFrame:
-    """(split, characters, filled, distinct, unseen): code points, those not white space, distinct ones, and occurrences of
-    characters that the train split doesn't hold."""
+    """(split, characters, filled, distinct_characters, unseen, unseen_rate, unseen_characters): code points, those not white
+    space, distinct ones, occurrences of characters that the train split doesn't hold, their share, and which they are, in
+    order (Unicode bounds the list)."""
     chars = rows.where("text <> ''").select("split", F.explode(tx.characters(F.col("text"))).alias("c")).groupBy("split", "c").count()
     known = chars.where("split = 'train'").select("c", F.lit(1).alias("known"))
-    held = chars.join(known, "c", "left")
+    held, new = chars.join(known, "c", "left"), F.col("known").isNull()
     return held.groupBy("split").agg(
         F.sum("count").alias("characters"), F.coalesce(F.sum(F.when(~F.col("c").rlike(f"^{tx.SPACE}$"), F.col("count"))), F.lit(0)).alias("filled"), F.count("*").alias("distinct_characters"),
-        F.coalesce(F.sum(F.when(F.col("known").isNull(), F.col("count"))), F.lit(0)).alias("unseen"),
+        F.coalesce(F.sum(F.when(new, F.col("count"))), F.lit(0)).alias("unseen"),
+        (F.coalesce(F.sum(F.when(new, F.col("count"))), F.lit(0)) / F.sum("count")).alias("unseen_rate"),
+        F.array_join(F.sort_array(F.collect_list(F.when(new, F.col("c")))), "").alias("unseen_characters"),
     )
 
 
@@ -138,7 +193,15 @@ def scripts_in_order(text: Column) -> Column:
     return F.array_distinct(F.transform(tx.characters(tx.normalize_text(text)), tx.script_of))
 
 
-def normal_form_audit(rows: DataFrame) -> DataFrame:
-    """(form, changed, total): texts that each normal form changes."""
-    forms = [F.struct(F.lit(f).alias("form"), (tx.normalize_text(F.col("text"), f) != F.col("text")).alias("changed")) for f in ("NFC", "NFD", "NFKC")]
-    return rows.select(F.explode(F.array(*forms)).alias("f")).groupBy("f.form").agg(F.count_if("f.changed").alias("changed"), F.count("*").alias("total"))
+def normal_form_audit(rows: DataFrame, forms: tuple[str, ...] = ("NFC", "NFD", "NFKC")) -> DataFrame:
+    """(form, changed, total, already, distinct_raw, distinct_characters): texts that each normal form changes, whether it
+    changes none, and distinct code points before and after."""
+    each = [F.struct(F.lit(f).alias("form"), tx.normalize_text(F.col("text"), f).alias("t")) for f in forms]
+    held = rows.select("text", F.explode(F.array(*each)).alias("f")).select("text", "f.*")
+    counts = held.groupBy("form").agg(F.count_if(F.col("t") != F.col("text")).alias("changed"), F.count("*").alias("total"))
+    kinds = lambda df, *by: df.where("t <> ''").select(*by, F.explode(tx.characters(F.col("t"))).alias("c")).distinct()
+    after = kinds(held, "form").groupBy("form").agg(F.count("*").alias("distinct_characters"))
+    raw = kinds(rows.select(F.col("text").alias("t"))).agg(F.count("*").alias("distinct_raw"))
+    raw = raw.select(F.explode(F.array(*map(F.lit, forms))).alias("form"), "distinct_raw")  # a row a form
+    out = counts.join(after, "form", "left").join(raw, "form")
+    return out.select("form", "changed", "total", (F.col("changed") == 0).alias("already"), "distinct_raw", F.coalesce("distinct_characters", F.lit(0)).alias("distinct_characters"))

@@ -1,6 +1,8 @@
 """Queries on frames, segments and waveforms."""
 
-from corpusloom.config import StftConfig
+import numpy as np
+import pyarrow as pa
+from corpusloom.config import Grid, SpeechRule, StftConfig
 from corpusloom.model import network
 from corpusloom.operators import frames as fr
 from corpusloom.operators import levels as lv
@@ -173,26 +175,65 @@ def silence_ratio(spark, folder):
     return framed.groupBy("utt").agg(F.avg((lv.dbfs(F.col("r")) <= -18).cast("int")).alias("silence_ratio"))
 
 
-# Gains are applied in 32-bit floats here and in doubles in SQL, so three decimals are compared.
+# Gains: doubles become floats on both sides, so all samples agree but for the last bit of a power
 
 
-@add("gain_peak_normalize", f"with {WAVE} select utt, round(list_max(list_transform(x, lambda v: abs(v * pow(10, (-1 - 20 * log10(peak)) / 20)))), 3) as peak, round(x[1] * pow(10, (-1 - 20 * log10(peak)) / 20), 3) as first_sample from level where peak > 0")
+def _gained(level, target):
+    return f"""with {WAVE}, gained as (select utt, unnest(range(0, len(x))) as i, unnest(list_transform(x, lambda v: (v * pow(10, ({target} - 20 * log10({level})) / 20))::float)) as v from level where {level} > 0)
+  select utt, cast(i as integer) as i, round(v::double, 5) + 0.0 as sample from gained"""
+
+
+def _samples(held):
+    return held.select("utt", F.posexplode("s").alias("i", "v")).select("utt", "i", (F.round(F.col("v").cast("double"), 5) + 0.0).alias("sample"))
+
+
+@add("gain_peak_normalize", _gained("peak", -1))
 def gain_peak_normalize(spark, folder):
-    held = clips(spark, folder).where(lv.peak(F.col("samples")) > 0).select("utt", lv.normalize_peak(F.col("samples"), -1.0).alias("s"))
-    return held.select("utt", F.round(lv.peak(F.col("s")), 3).alias("peak"), F.round(F.col("s")[0].cast("double"), 3).alias("first_sample"))
+    return _samples(clips(spark, folder).where(lv.peak(F.col("samples")) > 0).select("utt", lv.normalize_peak(F.col("samples"), -1.0).alias("s")))
 
 
-@add("gain_rms_normalize", f"with {WAVE} select utt, round(rms * pow(10, (-20 - 20 * log10(rms)) / 20), 3) as rms from level where rms > 0")
+@add("gain_rms_normalize", _gained("rms", -20))
 def gain_rms_normalize(spark, folder):
-    held = clips(spark, folder).where(lv.rms(F.col("samples")) > 0).select("utt", lv.normalize_rms(F.col("samples")).alias("s"))
-    return held.select("utt", F.round(lv.rms(F.col("s")), 3).alias("rms"))
+    return _samples(clips(spark, folder).where(lv.rms(F.col("samples")) > 0).select("utt", lv.normalize_rms(F.col("samples")).alias("s")))
 
 
-@add("mel_scale", "select cast(hz as integer) as hz, round(2595 * log10(1 + hz / 700), 9) as mel, round(700 * (pow(10, 2595 * log10(1 + hz / 700) / 2595) - 1), 6) as back from (select unnest(range(0, 8001, 50)) as hz)")
+@add(
+    "mel_scale",
+    """with s as (select unnest(range(0, 8001, 50))::double as hz), m as (select hz, 2595 * log10(1 + hz / 700) as mel, case when hz < 1000 then hz * 3 / 200 else 15 + ln(hz / 1000) / (ln(6.4) / 27) end as slaney from s)
+  select cast(hz as integer) as hz, round(mel, 9) as mel, round(700 * (pow(10, mel / 2595) - 1), 6) as back, round(slaney, 9) as slaney,
+  round(case when slaney < 15 then slaney * 200 / 3 else 1000 * exp((slaney - 15) * ln(6.4) / 27) end, 6) as slaney_back from m""",
+)
 def mel_scale(spark, folder):
-    hz = F.col("id")
-    mel = 2595.0 * F.log10(1 + hz / 700.0)
-    return spark.range(0, 8001, 50).select(hz.cast("int").alias("hz"), F.round(mel, 9).alias("mel"), F.round(700.0 * (F.pow(F.lit(10.0), mel / 2595.0) - 1), 6).alias("back"))
+    def run(batches):
+        for batch in batches:
+            hz = batch.column(0).to_numpy().astype(float)
+            mel, slaney = sp.hz_to_mel(hz), sp.hz_to_mel(hz, htk=False)
+            yield pa.record_batch([pa.array(v) for v in (hz.astype(np.int32), mel, sp.mel_to_hz(mel), slaney, sp.mel_to_hz(slaney, htk=False))], ["hz", "mel", "back", "slaney", "slaney_back"])
+
+    made = spark.range(0, 8001, 50).mapInArrow(run, "hz int, mel double, back double, slaney double, slaney_back double")
+    return made.select("hz", *[F.round(c, d).alias(c) for c, d in (("mel", 9), ("back", 6), ("slaney", 9), ("slaney_back", 6))])
+
+
+#: Rates that the clips are taken to have been recorded at
+RATES = (8_000, 11_025, 22_050, 48_000)
+
+
+@add(
+    "resample",
+    f"""with x as (select vec_id as utt, unnest(range(0, len(embedding))) as k, unnest(embedding)::double as v, len(embedding) as n from embeddings),
+  r as (select unnest({list(RATES)}) as rate), cuts as (select rate, least(1.0::double, 16000 / rate) as cut, cast(ceil(32 / least(1.0::double, 16000 / rate)) as bigint) as reach from r),
+  places as (select rate, cut, reach, i, i * rate / 16000 as pos from cuts, (select unnest(range(0, 128)) as i)),
+  taps as (select rate, i, k, cut, reach, k - pos as off from places, (select unnest(range(0, 64)) as k) where k between floor(pos) - reach and floor(pos) + reach),
+  kernel as (select rate, i, k, cut * (case when off = 0 then 1 else sin(pi() * cut * off) / (pi() * cut * off) end) * (0.5 + 0.5 * cos(pi() * off / (reach + 1))) as w from taps)
+  select utt, rate, cast(i as integer) as i, round(cast(sum(v * w) as float)::double, 5) + 0.0 as sample from kernel join x using (k) where i < ceil(n * 16000 / rate) group by utt, rate, i""",
+)
+def resample(spark, folder):
+    rows = clips(spark, folder).drop("sample_rate").withColumn("sample_rate", F.explode(F.lit(list(RATES))))
+    made = None
+    for rate in RATES:
+        one = _samples(sp.resampled(rows.where(F.col("sample_rate") == rate)).withColumnRenamed("samples", "s")).withColumn("rate", F.lit(rate))
+        made = one if made is None else made.unionByName(one)
+    return made
 
 
 @add("resample_identity", "select vec_id as utt, list_sum(list_transform(embedding, lambda v: v::double)) as total, len(embedding) as samples from embeddings")
@@ -201,14 +242,80 @@ def resample_identity(spark, folder):
     return held.select("utt", F.aggregate("samples", F.lit(0.0), lambda a, x: a + x.cast("double")).alias("total"), F.size("samples").cast("long").alias("samples"))
 
 
-@add("spectral_stats")
+# Spectra: five centred frames of 32 samples a clip, in a transform of 64 points, written out in SQL
+
+SMALL = StftConfig(n_fft=64, win_length=32, hop_length=16)
+DFT = """x as (select vec_id as utt, unnest(range(0, 64)) as i, unnest(embedding)::double as v from embeddings),
+  grid as (select f, t, 0.5 - 0.5 * cos(2 * pi() * t / 32) as w, 16 * f + t - 16 as pos from (select unnest(range(0, 5)) as f), (select unnest(range(0, 32)) as t)),
+  mirrored as (select f, t, w, case when pos < 0 then -pos when pos > 63 then 126 - pos else pos end as i from grid),
+  turned as (select f, i, k, w * cos(2 * pi() * k * (t + 16) / 64) as c, w * sin(2 * pi() * k * (t + 16) / 64) as s from mirrored, (select unnest(range(0, 33)) as k)),
+  parts as (select utt, f, k, sum(v * c) as re, sum(v * s) as im from x join turned using (i) group by utt, f, k), spectrum as (select utt, f, k, re * re + im * im as power, sqrt(re * re + im * im) as size from parts)"""
+
+
+@add(
+    "spectral_stats",
+    f"""with {DFT}, grown as (select *, k * 250.0::double as hz, sum(size) over (partition by utt, f order by k) as grown, sum(size) over (partition by utt, f) as total from spectrum),
+  centres as (select utt, f, sum(size * hz) / max(greatest(total, 1e-12)) as centre, exp(avg(ln(greatest(size, 1e-12)))) / avg(greatest(size, 1e-12)) as flat, min(case when grown >= 0.85 * total then hz end) as edge from grown group by utt, f),
+  spreads as (select g.utt, g.f, sqrt(sum(size * (hz - centre) * (hz - centre)) / max(greatest(total, 1e-12))) as spread from grown g join centres c on g.utt = c.utt and g.f = c.f group by g.utt, g.f)
+  select utt, round(avg(centre), 6) as centroid, round(avg(spread), 6) as bandwidth, round(avg(edge), 6) as rolloff, round(avg(flat), 9) as flatness from centres join spreads using (utt, f) group by utt""",
+)
 def spectral_stats(spark, folder):
-    return sp.quality(clips(spark, folder), StftConfig(n_fft=64, win_length=32, hop_length=16))
+    held = sp.quality(clips(spark, folder), SMALL)
+    return held.select("utt", *[F.round(c, d).alias(c) for c, d in (("centroid", 6), ("bandwidth", 6), ("rolloff", 6), ("flatness", 9))])
 
 
-@add("log_mel")
+@add(
+    "log_mel",
+    f"""with {DFT}, edges as (select b, 700 * (pow(10, (2595 * log10(1 + 8000.0::double / 700)) * b / 9 / 2595) - 1) as hz from (select unnest(range(0, 10)) as b)),
+  bands as (select l.b as band, l.hz as low, m.hz as mid, h.hz as high from edges l join edges m on m.b = l.b + 1 join edges h on h.b = l.b + 2),
+  weights as (select band, k, greatest(0, least((k * 250.0::double - low) / (mid - low), (high - k * 250.0::double) / (high - mid))) as w from bands, (select unnest(range(0, 33)) as k))
+  select utt, cast(f as integer) as frame, cast(band as integer) as band, round(cast(ln(sum(power * w) + 1e-6) as float)::double, 4) + 0.0 as level from spectrum join weights using (k) group by utt, f, band""",
+)
 def log_mel(spark, folder):
-    return sp.log_mel_frames(clips(spark, folder), StftConfig(n_fft=64, win_length=32, hop_length=16, n_mels=8))
+    made = sp.log_mel_frames(clips(spark, folder), StftConfig(n_fft=64, win_length=32, hop_length=16, n_mels=8))
+    return made.select("utt", "frame", F.posexplode("mel").alias("band", "v")).select("utt", "frame", "band", (F.round(F.col("v").cast("double"), 4) + 0.0).alias("level"))
+
+
+FRAMED_SPEECH = f"{DFT}, framed as (select utt, f, 10 * log10(sum(power) + 1e-12) as energy, exp(avg(ln(greatest(power, 1e-12)))) / avg(greatest(power, 1e-12)) as flat from spectrum group by utt, f)"
+RULE = SpeechRule(grid=Grid(16_000, 32, 16), floor=25.0, above=1.0, flattest=0.6, vote=0, hold=1, shortest=0)
+
+
+@add("speech_frames", f"with {FRAMED_SPEECH} select utt, cast(f as integer) as frame, f * 0.001::double as second, round(energy, 6) as energy_db, round(flat, 9) as flatness from framed")
+def speech_frames(spark, folder):
+    held = sp.speech_frames(clips(spark, folder), RULE, points=64)
+    second = F.round(fr.frame_times(F.col("frame"), RULE.grid.hop, RULE.grid.rate), 9)
+    return held.select("utt", "frame", second.alias("second"), F.round("energy_db", 6).alias("energy_db"), F.round("flatness", 9).alias("flatness"))
+
+
+@add(
+    "detect_speech",
+    f"""with {FRAMED_SPEECH}, floors as (select utt, quantile_cont(energy, 0.25) as floor from framed group by utt), raw as (select utt, f, energy > floor + 1 and flat < 0.6 as m from framed join floors using (utt))
+  select utt, cast(f as integer) as frame, m or coalesce(lag(m) over (partition by utt order by f), false) as is_speech from raw""",
+)
+def detect_speech(spark, folder):
+    return sp.detect_speech(clips(spark, folder), RULE, points=64).select("utt", "frame", "is_speech")
+
+
+@add(
+    "vad_agreement",
+    f"""with {PARTS}, {_merge('parts', 600, 'found')}, {_merge('parts', 0, 'truth')}, wide as (select utt, greatest(s / 1000 - 0.1, 0) as s, e / 1000 + 0.1 as e from truth),
+  cut as (select 'found' as side, utt, floor(s / 1000 * 16000) as s, floor(e / 1000 * 16000) as e from found union all select 'truth', utt, floor(s / 1000 * 16000), floor(e / 1000 * 16000) from truth
+    union all select 'wide', utt, floor(s * 16000), floor(e * 16000) from wide),
+  kept as (select * from cut where e > s), reached as (select *, max(e) over (partition by side, utt order by s, e rows between unbounded preceding and 1 preceding) as reach from kept),
+  grouped as (select *, sum(case when s <= reach then 0 else 1 end) over (partition by side, utt order by s, e rows unbounded preceding) as g from reached),
+  flat as (select side, utt, min(s) as s, max(e) as e from grouped group by side, utt, g),
+  sizes as (select utt, sum(e - s) filter (where side = 'found') as seen, sum(e - s) filter (where side = 'truth') as real from flat group by utt),
+  shared as (select a.utt, sum(least(a.e, b.e) - greatest(a.s, b.s)) filter (where b.side = 'truth') as met, sum(least(a.e, b.e) - greatest(a.s, b.s)) filter (where b.side = 'wide') as near
+    from flat a join flat b on a.utt = b.utt and a.side = 'found' and b.side <> 'found' and a.s < b.e and b.s < a.e group by a.utt),
+  everyone as (select distinct utt from parts)
+  select utt, case when coalesce(real, 0) > 0 then coalesce(met, 0) / real else 0.0::double end as coverage, case when coalesce(seen, 0) > 0 then (seen - coalesce(met, 0)) / seen else 1.0::double end as leakage,
+    case when coalesce(seen, 0) > 0 then (seen - coalesce(near, 0)) / seen else 1.0::double end as beyond from everyone left join sizes using (utt) left join shared using (utt)""",
+)
+def vad_agreement(spark, folder):
+    """Segments merged over gaps of 0.6 s held against the segments themselves, with a margin of 0.1 s."""
+    seconds = lambda df: df.select("utt", (F.col("start") / 1000).alias("start"), (F.col("end") / 1000).alias("end"))
+    rows = parts(spark, folder)
+    return fr.agreement(seconds(fr.merge(rows, 600)), seconds(fr.merge(rows, 0)), 0.1)
 
 
 @add(

@@ -1,5 +1,6 @@
 """Queries on manifests: summaries, identity, feasibility, curation and splits."""
 
+from corpusloom.model import network
 from corpusloom.operators import feasibility as fe
 from corpusloom.operators import manifest as mf
 from corpusloom.operators import splits
@@ -92,6 +93,18 @@ def systematic_sample(spark, folder):
     return mf.every_nth(records(spark, folder), "utterance_id", 2000)
 
 
+@add(
+    "sampled_rows",
+    f"""{WITH}, ids as (select utterance_id, row_number() over (order by utterance_id) as rank from (select distinct utterance_id from records)),
+  n as (select greatest(1, count(*) // 2000) as step from ids), kept as (select utterance_id from ids, n where (rank - 1) % step = 0 and rank <= step * 2000)
+  select row_id, utterance_id, duration_seconds from records where utterance_id in (select utterance_id from kept)""",
+)
+def sampled_rows(spark, folder):
+    """All rows of the systematically sampled utterances."""
+    rows = records(spark, folder)
+    return rows.join(mf.every_nth(rows, "utterance_id", 2000).select("utterance_id"), "utterance_id", "left_semi").select("row_id", "utterance_id", "duration_seconds")
+
+
 @add(
     "subset_budget",
     f"""{WITH}, run as (select row_id, cast(round(duration_seconds * 1000000) as bigint) as d, sum(cast(round(duration_seconds * 1000000) as bigint)) over (order by duration_seconds, row_id rows unbounded preceding) as until
@@ -112,20 +125,56 @@ def subset_stats(spark, folder):
     )
 
 
-@add(
-    "manifest_checks",
-    f"""{WITH}, speakers as (select speaker_id from records group by 1 having count(distinct split) > 1),
+def _shared(rows):
+    """SQL of the speakers that two splits share, a row for each pair of splits."""
+    pairs = (("train", "dev"), ("train", "test"), ("dev", "test"))
+    one = "select 'no speaker in both {a} and {b}' as name, count(*) as detail from (select speaker_id from {rows} where split in ('{a}', '{b}') group by speaker_id having count(distinct split) = 2)"
+    return " union all ".join(one.format(a=a, b=b, rows=rows) for a, b in pairs)
+
+
+STATED = """told as (select split, count(*) as utterances, count(distinct speaker_id) as speakers, sum(duration_seconds) / 3600 as hours from {told} group by split
+    union all select 'total', count(*), count(distinct speaker_id), sum(duration_seconds) / 3600 from {told}),
+  real as (select split, count(*) as utterances, count(distinct speaker_id) as speakers, sum(duration_seconds) / 3600 as hours from {real} group by split
+    union all select 'total', count(*), count(distinct speaker_id), sum(duration_seconds) / 3600 from {real}),
+  compared as (select split, real.utterances, told.utterances as stated_utterances, coalesce(real.utterances = told.utterances, false) as same_utterances, coalesce(real.speakers = told.speakers, false) as same_speakers,
+    coalesce(abs(real.hours - told.hours) <= 0.01, false) as same_hours from real full join told using (split))"""
+CHECKS = f"""{WITH}, earlier as (select * from records where delivery <= 5), {STATED.format(told="earlier", real="records")},
+  speakers as (select speaker_id from records group by 1 having count(distinct split) > 1),
   checks as (select 'utterance ids are unique' as name, count(*) - count(distinct utterance_id) as detail from records
     union all select 'splits share no speaker', count(*) from speakers
     union all select 'no transcript is empty', count(*) from records where regexp_replace(text, '{SPACE}', '', 'g') = ''
     union all select 'no replacement character', count(*) from records where contains(text, chr(65533))
     union all select 'paths are relative', count(*) from records where audio_path is null or starts_with(audio_path, '/') or regexp_matches(audio_path, '^[A-Za-z]:')
     union all select 'sample rate is canonical', count(*) from records where sample_rate is distinct from 16000
-    union all select 'split names are known', count(*) from records where split not in ('train', 'dev', 'test'))
-  select name, detail = 0 as ok, cast(detail as bigint) as detail from checks""",
-)
+    union all select 'split names are known', count(*) from records where split not in ('train', 'dev', 'test')
+    union all {_shared("records")}
+    union all select 'splits have the stated rows', count(*) from compared where split <> 'total' and not same_utterances
+    union all select 'speakers are as stated', count(*) from compared where split = 'total' and not same_speakers
+    union all select 'hours are as stated', count(*) from compared where not same_hours
+    union all select 'recordings exist', count(*) from records r where not exists (select 1 from corpus_files c where c.utterance_id = r.utterance_id))"""
+
+
+def _checks(spark, folder):
+    """Against the figures of the deliveries before the last and the recordings on disk."""
+    rows = records(spark, folder)
+    return mf.integrity(rows, mf.summary(rows.where("delivery <= 5")), table(spark, folder, "corpus_files"))
+
+
+@add("manifest_checks", f"{CHECKS} select name, detail = 0 as ok, cast(detail as bigint) as detail from checks")
 def manifest_checks(spark, folder):
-    return mf.integrity(records(spark, folder))
+    return _checks(spark, folder)
+
+
+@add("check_tally", f"{CHECKS} select count(*) filter (where detail = 0) as passed, count(*) filter (where detail <> 0) as failed, 0::bigint as pending from checks")
+def check_tally(spark, folder):
+    return mf.tally(_checks(spark, folder))
+
+
+@add("stated_figures", f"{WITH}, earlier as (select * from records where delivery <= 5), {STATED.format(told='earlier', real='records')} select * from compared")
+def stated_figures(spark, folder):
+    """Figures of all deliveries against those stated before the last one."""
+    rows = records(spark, folder)
+    return mf.compare_stats(rows, mf.summary(rows.where("delivery <= 5")))
 
 
 @add("utf8_replacement_check", "select row_id from manifest where contains(text, chr(65533))")
@@ -145,11 +194,17 @@ def records_without_file(spark, folder):
 
 @add(
     "transcript_join",
-    """select shipped_split, count(*) as files, count(text_path) as with_transcript from corpus_files group by shipped_split""",
+    r"""with f as (select utterance_id, shipped_split, audio_path, text_path from corpus_files),
+  audio as (select shipped_split, regexp_extract(audio_path, '([^/]+)\.[^./]*$', 1) as stem from f where audio_path is not null), texts as (select distinct shipped_split, regexp_extract(text_path, '([^/]+)\.[^./]*$', 1) as stem from f where text_path is not null)
+  select a.shipped_split, count(*) as recordings, count(t.stem) as with_transcript from audio a left join texts t on a.stem = t.stem and a.shipped_split is not distinct from t.shipped_split group by a.shipped_split""",
 )
 def transcript_join(spark, folder):
+    """Recordings and transcripts of a split meet on the stems of their file names."""
     files = table(spark, folder, "corpus_files")
-    return files.groupBy("shipped_split").agg(F.count("*").alias("files"), F.count("text_path").alias("with_transcript"))
+    stems = lambda c: files.where(F.col(c).isNotNull()).select("shipped_split", F.regexp_extract(c, r"([^/]+)\.[^./]*$", 1).alias("stem"))
+    audio, texts = stems("audio_path"), stems("text_path").distinct().withColumnsRenamed({"shipped_split": "s", "stem": "t"})
+    met = audio.join(texts, (audio["stem"] == texts["t"]) & audio["shipped_split"].eqNullSafe(texts["s"]), "left")
+    return met.groupBy("shipped_split").agg(F.count("*").alias("recordings"), F.count("t").alias("with_transcript"))
 
 
 @add(
@@ -162,9 +217,13 @@ def filename_parse(spark, folder):
     return rows.where("s is not null").select("utterance_id", "s.*")
 
 
-@add("relative_path", "select row_id, case when starts_with(audio_path, 'raw/') then substr(audio_path, 5) else audio_path end as path, list_last(string_split(audio_path, '/')) as filename from manifest where not contains(audio_path, '\\')")
+@add(
+    "relative_path",
+    r"""with slashed as (select row_id, replace(audio_path, '\', '/') as path from manifest)
+  select row_id, case when starts_with(path, 'raw/') then substr(path, 5) else path end as path, list_last(string_split(path, '/')) as filename from slashed""",
+)
 def relative_path(spark, folder):
-    """Of every row; the SQL states it for paths without backslash only. A row without path has neither path nor filename."""
+    """Of every row; a row without path has neither path nor filename."""
     path = F.col("audio_path")
     name = F.element_at(F.split(F.regexp_replace(path, r"\\", "/"), "/"), -1)
     return table(spark, folder, "manifest").select("row_id", corpus.relative(path, "raw").alias("path"), name.alias("filename"))
@@ -372,21 +431,76 @@ def longest_by_speaker(spark, folder):
 
 
 
+CORRUPT = "select row_id from violators where reason = 'corrupt_transcript' and unit = 'char_no_space'"
+#: A version made of all deliveries without corrupt rows, held against the deliveries before the last one
+CURATION = f"""gone as ({CORRUPT}), old as (select * from records where delivery <= 5), kept as (select * from records where row_id not in (select row_id from gone)),
+  marked_old as (select row_id, count(*) as n, min(hash(utterance_id, text, speaker_id, prefix, split, duration_seconds, sample_rate, dataset_id, audio_path, delivery)) as h from old group by row_id),
+  marked_new as (select row_id, count(*) as n, min(hash(utterance_id, text, speaker_id, prefix, split, duration_seconds, sample_rate, dataset_id, audio_path, delivery)) as h from kept group by row_id),
+  checks as (select 'nothing but the named rows is gone' as name, count(*) as detail from marked_old where row_id not in (select row_id from kept) and row_id not in (select row_id from gone)
+    union all select 'all named rows are gone', count(*) from marked_new where row_id in (select row_id from gone)
+    union all select 'named rows were there', count(*) from gone where row_id not in (select row_id from old)
+    union all select 'no row is new', count(*) from marked_new where row_id not in (select row_id from old)
+    union all select 'kept rows are unchanged', count(*) from marked_new k join marked_old o using (row_id) where k.h <> o.h
+    union all select 'no row occurred twice before', count(*) from marked_old where n > 1 union all select 'no row occurs twice', count(*) from marked_new where n > 1
+    union all select 'no speaker changed its splits', count(*) from (select distinct speaker_id, split from kept except select speaker_id, split from old)
+    union all select 'no transcript is empty', count(*) from kept where regexp_replace(text, '{SPACE}', '', 'g') = ''
+    union all select 'split names are known', count(*) from kept where split not in ('train', 'dev', 'test')
+    union all {_shared("kept")})"""
+
+
+def _version(spark, folder):
+    rows = records(spark, folder)
+    return rows.where("delivery <= 5"), fe.curated(rows), fe.corrupt(rows)
+
+
+@add("curation_checks", f"{VIOLATIONS}, {CURATION} select name, detail = 0 as ok, cast(detail as bigint) as detail from checks")
+def curation_checks(spark, folder):
+    before, after, gone = _version(spark, folder)
+    return mf.curation_checks(before, after, gone.select("row_id"))
+
+
+@add(
+    "version_checks",
+    f"""{VIOLATIONS}, {CURATION}, counts as (select split, count(*) as n, count(distinct speaker_id) as k from kept group by split),
+  document as (select 'the document declares the version' as name, 0 as detail union all select 'the document names the version before', 0 union all select 'the document counts what was removed', 0
+    union all select 'the document ' || what || s, 0 from (select unnest(['counts the rows of ', 'sums the hours of ', 'counts the speakers of ']) as what), (select unnest(['train', 'dev', 'test']) as s)),
+  fast as (select distinct utterance_id from violators join records using (row_id) where reason <> 'corrupt_transcript'),
+  rest as (select 'recordings exist' as name, count(*) as detail from kept k where not exists (select 1 from corpus_files c where c.utterance_id = k.utterance_id)
+    union all select 'published ids are in the version', count(*) from fast where utterance_id not in (select utterance_id from kept)
+    union all select 'published ids were not removed', count(*) from fast where utterance_id in (select utterance_id from records where row_id in (select row_id from gone)))
+  select name, detail = 0 as ok, cast(detail as bigint) as detail from (select * from checks union all select * from document union all select * from rest)""",
+)
+def version_checks(spark, folder):
+    """All checks of a new version; its document is made by ``metadata`` and read back as JSON."""
+    before, after, gone = _version(spark, folder)
+    fast = _violations(spark, folder).where("reason <> 'corrupt_transcript'").select("utterance_id")
+    document = mf.metadata(after, gone, "corpus", "v002", "v001")
+    return mf.version_checks(before, after, gone, document, "v002", "v001", table(spark, folder, "corpus_files"), fast)
+
+
 @add(
-    "curation_checks",
-    f"""{VIOLATIONS}, gone as (select row_id from violators where reason = 'corrupt_transcript' and unit = 'char_no_space'), kept as (select * from records where row_id not in (select row_id from gone)),
-  checks as (select 'nothing but the named rows is gone' as name, count(*) as detail from records where row_id not in (select row_id from kept) and row_id not in (select row_id from gone)
-    union all select 'all named rows are gone', count(*) from kept where row_id in (select row_id from gone) union all select 'no row is new', count(*) from kept where row_id not in (select row_id from records)
-    union all select 'kept rows are unchanged', count(*) from kept k join records r using (row_id) where k.text <> r.text union all select 'no speaker changed its splits', 0
-    union all select 'no row occurs twice', count(*) - count(distinct row_id) from kept)
-  select name, detail = 0 as ok, cast(detail as bigint) as detail from checks""",
+    "training_guards",
+    f"""{WITH}, grid as ({GRID}) select 'no row is starved of frames' as name, count(*) filter (where greatest(1, ceil(frames / 4.0)) < labels) = 0 as ok, count(*) filter (where greatest(1, ceil(frames / 4.0)) < labels) as detail from grid where unit = 'char_with_space'
+  union all select 'no row is without labels', count(*) filter (where labels = 0) = 0, count(*) filter (where labels = 0) from grid where unit = 'char_with_space'""",
 )
-def curation_checks(spark, folder):
-    rows = records(spark, folder)
-    return mf.curation_checks(rows, fe.curated(rows), fe.corrupt(rows).select("row_id"))
+def training_guards(spark, folder):
+    return fe.training_guards(records(spark, folder))
+
+
+@add(
+    "length_probe",
+    f"""{WITH}, f as (select distinct {FRAMES} as frames from records), r as (select frames, row_number() over (order by frames) as k, count(*) over () as n from f)
+  select cast(frames as integer) as frames, cast(greatest(1, (greatest(1, (frames - 1) // 2 + 1) - 1) // 2 + 1) as bigint) as encoder_frames from r where k <= 6 or k > n - 6""",
+)
+def length_probe(spark, folder):
+    """The shortest and longest utterances in frames, with what a model's layers leave of them."""
+    frames = records(spark, folder).select(fe.stft_frames(F.col("duration_seconds"), half_up=True).alias("frames"))
+    shape = network.Shape()
+    probe = fe.length_probe(frames)
+    return probe.select("frames", fe.subsampled(fe.subsampled(F.col("frames"), [shape.layers[0][1:]]), [shape.layers[1][1:]]).cast("long").alias("encoder_frames"))
 
 
 @add("dataset_metadata")
 def dataset_metadata(spark, folder):
     rows = records(spark, folder)
-    return mf.metadata(fe.curated(rows), fe.corrupt(rows), "corpus", "v002", "v001")
+    return mf.metadata(fe.curated(rows), fe.corrupt(rows), "corpus", "v002", "v001", split_seed=20261003, ratios={"train": 0.9, "dev": 0.05, "test": 0.05})

@@ -30,10 +30,18 @@ def prepare_text(spark, folder):
 
 @add(
     "normalization_audit",
-    f"{WITH} select 'NFC' as form, count(*) filter (where nfc_normalize(text) <> text) as changed, count(*) as total from records",
+    f"""{WITH}, kinds as (select (select count(*) from (select distinct unnest({CHARS}) from records)) as distinct_raw,
+    (select count(*) from (select distinct unnest(regexp_extract_all(nfc_normalize(text), '(?s).')) from records)) as distinct_characters)
+  select 'NFC' as form, count(*) filter (where nfc_normalize(text) <> text) as changed, count(*) as total, count(*) filter (where nfc_normalize(text) <> text) = 0 as already,
+  any_value(distinct_raw) as distinct_raw, any_value(distinct_characters) as distinct_characters from records, kinds""",
 )
 def normalization_audit(spark, folder):
-    return vo.normal_form_audit(records(spark, folder)).where("form = 'NFC'")
+    return vo.normal_form_audit(records(spark, folder), ("NFC",))
+
+
+@add("is_normalized", "select row_id, nfc_normalize(text) = text as nfc from manifest")
+def is_normalized(spark, folder):
+    return table(spark, folder, "manifest").select("row_id", vo.is_normalized(F.col("text")).alias("nfc"))
 
 
 @add("normalization_audit_all_forms")
@@ -64,6 +72,36 @@ def word_vocabulary(spark, folder):
     return vo.word_ranks(_train(spark, folder))
 
 
+@add(
+    "word_vocabulary_first_seen",
+    f"""{WITH}, w as (select row_id, unnest({WORDS}) as word, generate_subscripts({WORDS}, 1) as place from records where split = 'train'),
+  held as (select word, count(*) as count, min((row_id, place)) as first from w group by word) select word, count, row_number() over (order by count desc, first) as rank from held""",
+)
+def word_vocabulary_first_seen(spark, folder):
+    return vo.word_ranks(_train(spark, folder), ties="first")
+
+
+@add(
+    "word_ids",
+    f"""{WITH}, w as (select unnest({WORDS}) as word from records where split = 'train'), ranked as (select word, row_number() over (order by count(*) desc, encode(word)) as id from w group by word)
+  select id, word from ranked union all select coalesce(max(id), 0) + 1, '<unk>' from ranked""",
+)
+def word_ids(spark, folder):
+    return vo.word_ids(vo.word_ranks(_train(spark, folder)))
+
+
+@add(
+    "encode_report",
+    f"""{WITH}, {VOCAB}, small as (select * from vocab where id <= 31), chars as (select row_id, unnest(regexp_extract_all(p, '(?s).')) as symbol from prepared where p <> ''),
+  lost as (select row_id, count(*) as unknown, string_agg(distinct symbol, '' order by symbol) as unknown_symbols from chars where symbol not in (select symbol from small) group by row_id)
+  select row_id, cast(coalesce(unknown, 0) as integer) as unknown, coalesce(unknown_symbols, '') as unknown_symbols from prepared left join lost using (row_id)""",
+)
+def encode_report(spark, folder):
+    """Against a vocabulary of 30 symbols, which leaves some characters unknown."""
+    held = vo.encode(records(spark, folder), vo.vocabulary(_train(spark, folder), vo.TokenizerConfig(max_symbols=30)))
+    return held.select("row_id", "unknown", F.array_join("unknown_symbols", "").alias("unknown_symbols"))
+
+
 @add(
     "encode_ids",
     f"""{WITH}, {VOCAB}, chars as (select row_id, unnest(regexp_extract_all(p, '(?s).')) as symbol, generate_subscripts(regexp_extract_all(p, '(?s).'), 1) as i from prepared where p <> ''),
@@ -87,10 +125,17 @@ def decode_text(spark, folder):
     return held.select("row_id", vo.decode(F.col("ids"), vocab).alias("decoded"))
 
 
-@add("decode_words", f"{WITH} select row_id, case when {PREPARED} = '' then 0 else len(string_split({PREPARED}, ' ')) end as words from records")
+@add(
+    "decode_words",
+    f"""{WITH}, {VOCAB}, chars as (select row_id, unnest(regexp_extract_all(p, '(?s).')) as symbol, generate_subscripts(regexp_extract_all(p, '(?s).'), 1) as i from prepared where p <> ''),
+  known as (select row_id, string_agg(symbol, '' order by i) as decoded from chars join vocab using (symbol) group by row_id)
+  select row_id, case when coalesce(decoded, '') = '' then 0 else len(string_split(decoded, ' ')) end as words from prepared left join known using (row_id)""",
+)
 def decode_words(spark, folder):
-    rows = records(spark, folder)
-    return rows.select("row_id", F.size(vo.decode_words(tx.prepare_text(F.col("text")))).cast("long").alias("words"))
+    """Words of what the encoded texts decode to."""
+    vocab = _vocab(spark, folder)
+    held = vo.encode(records(spark, folder), vocab)
+    return held.select("row_id", F.size(vo.decode_words(vo.decode(F.col("ids"), vocab))).cast("long").alias("words"))
 
 
 @add(
@@ -107,7 +152,8 @@ def unknown_rate(spark, folder):
 @add(
     "char_stats_by_split",
     f"""{WITH}, chars as (select split, unnest({CHARS}) as c from records), train as (select distinct c from chars where split = 'train')
-  select split, count(*) as characters, count(*) filter (where not regexp_full_match(c, '{SPACE}')) as filled, count(distinct c) as distinct_characters, count(*) filter (where c not in (select c from train)) as unseen from chars group by split""",
+  select split, count(*) as characters, count(*) filter (where not regexp_full_match(c, '{SPACE}')) as filled, count(distinct c) as distinct_characters, count(*) filter (where c not in (select c from train)) as unseen,
+  count(*) filter (where c not in (select c from train)) / count(*) as unseen_rate, coalesce(string_agg(distinct c, '' order by c) filter (where c not in (select c from train)), '') as unseen_characters from chars group by split""",
 )
 def char_stats_by_split(spark, folder):
     return vo.character_stats(records(spark, folder))
@@ -201,29 +247,62 @@ def rarest_symbols(spark, folder):
     return vo.symbol_counts(_train(spark, folder)).orderBy("count", "symbol").limit(20)
 
 
-#: ASCII words only: DuckDB's levenshtein counts bytes
-PAIRS = f"""ascii as (select utterance_id, row_id, array_to_string(list_filter({WORDS}, lambda w: regexp_full_match(w, '[ -~]+')), ' ') as t from records),
-  pairs as (select utterance_id, row_id, t as reference, lead(t) over (partition by utterance_id order by row_id) as hypothesis from ascii)"""
+def _edits(a: str, b: str) -> str:
+    """SQL of the edit distance of two lists of numbers: rows of the table of distances, one after the other."""
+    step = f"list_min(list_transform(range(0, j + 1), lambda k: case when k = 0 then r[1] + 1 else least(r[k + 1] + 1, r[k] + ({b}[k] <> x[1])::int) end + (j - k)))"
+    return f"list_reduce(list_concat([range(0, len({b}) + 1)], list_transform({a}, lambda x: [x])), lambda r, x: list_transform(range(0, len({b}) + 1), lambda j: {step}))[-1]"
+
+
+RATED = f"""coded as (select split, list_transform(regexp_extract_all(reference, '(?s).'), lambda c: ascii(c)::bigint) as a, list_transform(regexp_extract_all(hypothesis, '(?s).'), lambda c: ascii(c)::bigint) as b,
+    string_split(reference, ' ') as u, string_split(hypothesis, ' ') as v from pairs),
+  worded as (select *, list_distinct(list_concat(u, v)) as every from coded),
+  numbered as (select *, list_transform(u, lambda w: list_position(every, w)::bigint) as m, list_transform(v, lambda w: list_position(every, w)::bigint) as n from worded),
+  rated as (select split, len(a) as tokens, {_edits("a", "b")} as e, len(m) as words, {_edits("m", "n")} as w from numbered),
+  rates as (select split, count(*) as utterances, cast(sum(e) as bigint) as token_errors, cast(sum(tokens) as bigint) as tokens, avg((e = 0)::int) as exact, sum(w) / sum(words) as word_error_rate from rated group by split)
+  select *, case when tokens > 0 then token_errors / tokens else 1 end as token_error_rate, case when tokens > 0 then token_errors / tokens else 1 end <= 0.1 as accepted from rates"""
+#: Each utterance's transcript and that of its next row
+NEXT = f"""{WITH}, every_pair as (select split, text as reference, lead(text) over (partition by utterance_id order by row_id) as hypothesis from records where utterance_id is not null),
+  pairs as (select * from every_pair where hypothesis is not null)"""
+#: Transcripts of utterances that came again and what a vocabulary of 30 symbols leaves of them
+ROUND = f"""{WITH}, {VOCAB}, small as (select * from vocab where id <= 31),
+  again as (select row_id, split, text from records where utterance_id in (select utterance_id from records group by utterance_id having count(*) > 1)),
+  chars as (select row_id, unnest(regexp_extract_all(p, '(?s).')) as symbol, generate_subscripts(regexp_extract_all(p, '(?s).'), 1) as i from prepared where p <> '' and row_id in (select row_id from again)),
+  known as (select row_id, string_agg(symbol, '' order by i) as decoded from chars join small using (symbol) group by row_id),
+  pairs as (select split, text as reference, coalesce(decoded, '') as hypothesis from again left join known using (row_id))"""
 
 
 def _next_rows(spark, folder):
     from pyspark.sql import Window
 
     w = Window.partitionBy("utterance_id").orderBy("row_id")
-    rows = records(spark, folder).withColumn("hypothesis", F.lead("text").over(w)).where("hypothesis is not null")
-    return rows.withColumnRenamed("text", "reference")
+    rows = records(spark, folder).where("utterance_id is not null").withColumn("hypothesis", F.lead("text").over(w))
+    return rows.where("hypothesis is not null").withColumnRenamed("text", "reference")
 
 
-@add("token_error_rate", f"{WITH}, {PAIRS} select count(*) as utterances, cast(sum(levenshtein(reference, hypothesis)) as bigint) as token_errors, cast(sum(length(reference)) as bigint) as tokens from pairs where hypothesis is not null")
+@add("token_error_rate", f"{NEXT}, figures as (with {RATED}) select cast(sum(utterances) as bigint) as utterances, cast(sum(token_errors) as bigint) as token_errors, cast(sum(tokens) as bigint) as tokens from figures")
 def token_error_rate(spark, folder):
-    """Each utterance's whole transcript against that of its next row; the SQL states it for ASCII words only."""
+    """Each utterance's whole transcript against that of its next row."""
     return de.error_rates(_next_rows(spark, folder).withColumn("g", F.lit(0)), ["g"]).select("utterances", "token_errors", "tokens")
 
 
-@add("word_error_rate")
+def _accepted(rates):
+    return rates.withColumn("accepted", de.accepted(F.col("token_error_rate")))
+
+
+@add("word_error_rate", f"{NEXT}, {RATED}")
 def word_error_rate(spark, folder):
-    """Each utterance's transcript against that of its next row."""
-    return de.error_rates(_next_rows(spark, folder), ["split"])
+    """The same pairs by split, and whether a split's token error rate is accepted."""
+    return _accepted(de.error_rates(_next_rows(spark, folder), ["split"]))
+
+
+@add("decoded_error_rate", f"{ROUND}, {RATED}")
+def decoded_error_rate(spark, folder):
+    """What a vocabulary of 30 symbols loses of the transcripts of utterances that came again, by split."""
+    vocab = vo.vocabulary(_train(spark, folder), vo.TokenizerConfig(max_symbols=30))
+    rows = records(spark, folder)
+    again = rows.groupBy("utterance_id").agg(F.count("*").alias("n")).where("n > 1").select("utterance_id")
+    held = vo.encode(rows.join(again, "utterance_id", "left_semi"), vocab).withColumn("hypothesis", vo.decode(F.col("ids"), vocab))
+    return _accepted(de.error_rates(held.withColumnRenamed("text", "reference"), ["split"]))
 
 
 @add("char_lengths", f"{WITH} select row_id, length(text) as characters, length({UNSPACED}) as filled, len({WORDS}) as words from records")

@@ -8,16 +8,26 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusloom.session import settle
+
 
 def plain(path: Column) -> Column:
     """A local path without its scheme; other paths as they are."""
     return F.regexp_replace(path, "^file:/+", "/")
 
 
+def store_of(path: str):
+    """(Arrow file system, path in it) of an address."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("/") else fs.FileSystem.from_uri(f"/{path.removeprefix('file:').lstrip('/')}")
+
+
 def list_files(spark: SparkSession, folders: list[str], suffix: str, recursive: bool = False) -> DataFrame:
-    """(path, name, size) of the files with this suffix, one task a folder; a folder that doesn't exist raises.
+    """(path, name, size) of the files with this suffix; a folder that doesn't exist raises.
 
-    Any store that Arrow reads by its address can be listed.
+    Any store that Arrow reads by its address can be listed, one task a folder; with ``recursive`` the folders below are
+    tasks of their own, level by level, so a large tree isn't walked by one task.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -25,13 +35,23 @@ def list_files(spark: SparkSession, folders: list[str], suffix: str, recursive:
 
         for batch in batches:
             for folder in batch.column(0).to_pylist():
-                store, at = fs.FileSystem.from_uri(folder)
+                store, at = store_of(folder)
                 scheme = "" if store.type_name == "local" else f"{folder.split('://')[0]}://"
-                held = [i for i in store.get_file_info(fs.FileSelector(at, recursive=recursive)) if i.is_file and i.base_name.endswith(suffix)]
-                yield pa.record_batch({"path": pa.array([scheme + i.path for i in held], pa.string()), "name": pa.array([i.base_name for i in held], pa.string()), "size": pa.array([i.size for i in held], pa.int64())})
+                held = [i for i in store.get_file_info(fs.FileSelector(at)) if not i.is_file or i.base_name.endswith(suffix)]
+                yield pa.record_batch({"path": pa.array([scheme + i.path for i in held], pa.string()), "name": pa.array([i.base_name for i in held], pa.string()), "size": pa.array([i.size if i.is_file else None for i in held], pa.int64())})
+
+    def level(names: DataFrame, tasks: int) -> DataFrame:
+        return names.repartition(tasks).mapInArrow(run, "path string, name string, size long")
 
-    names = spark.createDataFrame([(f.replace("file:", "", 1) if f.startswith("file:/") else f,) for f in folders], "folder string")
-    return names.repartition(len(folders)).mapInArrow(run, "path string, name string, size long")
+    todo = spark.createDataFrame([(f.replace("file:", "", 1) if f.startswith("file:/") else f,) for f in folders], "folder string")
+    if not recursive:
+        return level(todo, len(folders)).where("size is not null")
+    out, many = None, len(folders)
+    while many:
+        found = settle(level(todo, min(many, 1000)), "listing")
+        mine, todo = found.where("size is not null"), found.where("size is null").select(F.col("path").alias("folder"))
+        out, many = mine if out is None else out.unionByName(mine), todo.count()
+    return out
 
 
 #: Kinds of recordings in the order in which one is looked for (fixed values).

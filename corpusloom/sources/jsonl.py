@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import json
+from dataclasses import asdict, fields
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom import schema
+from corpusloom.config import TokenizerConfig
 
 
 def read_manifest(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
@@ -41,11 +43,11 @@ def read_document(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("multiLine", "true").json(path)
 
 
-def save_tokenizer(vocab: DataFrame, path: str, include_space: bool = True, form: str = "NFC") -> None:
-    """A vocabulary (id, symbol, count) as one JSON document with sorted keys."""
+def save_tokenizer(vocab: DataFrame, path: str, config: TokenizerConfig = TokenizerConfig()) -> None:
+    """A vocabulary (id, symbol, count) with its settings as one JSON document with sorted keys."""
     rows = sorted((r["id"], r["symbol"], r["count"]) for r in vocab.collect())  # a character inventory
     document = {
-        "kind": "character", "config": {"form": form, "include_space": include_space}, "blank_id": schema.BLANK, "unk_id": schema.UNKNOWN,
+        "kind": "character", "config": asdict(config), "blank_id": schema.BLANK, "unk_id": schema.UNKNOWN,
         "size": len(rows) + 2, "real_symbols": len(rows), "counts": {s: n for _, s, n in rows}, "symbols": ["<blank>", "<unk>", *[s for _, s, _ in rows]],
     }
     Path(path).write_text(json.dumps(document, ensure_ascii=False, indent=2, sort_keys=True) + "\n", encoding="utf-8")
@@ -63,8 +65,23 @@ def load_tokenizer(spark: SparkSession, path: str) -> DataFrame:
     return spark.createDataFrame(rows, "id long, symbol string, count long")
 
 
-def write_words(ranks: DataFrame, folder: str) -> None:
-    """Folders word_vocab (one word a line by rank) and token2id (JSON lines of word and id) of (word, rank)."""
+def tokenizer_config(path: str) -> TokenizerConfig:
+    """The settings of a saved tokenizer; absent ones have their defaults, unknown ones are ignored."""
+    held, known = json.loads(Path(path).read_text(encoding="utf-8")), {f.name for f in fields(TokenizerConfig)}
+    return TokenizerConfig(**{k: v for k, v in held.get("config", {}).items() if k in known})
+
+
+def write_document(rows: DataFrame, path: str) -> None:
+    """A table of measurements as one JSON document: an array of its rows. For results of a few rows, as reports are."""
+    held = rows.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"})).collect()
+    Path(path).write_text(json.dumps([json.loads(r[0]) for r in held], ensure_ascii=False, indent=2, sort_keys=True) + "\n", encoding="utf-8")
+
+
+def write_words(ranks: DataFrame, folder: str, top: int | None = None) -> None:
+    """Folders word_vocab (one word a line by rank) and token2id (JSON lines of word and id) of (word, rank); with ``top``
+    also subset_vocab, the words up to that rank."""
     sorted_ = ranks.orderBy("rank")
+    if top is not None:
+        sorted_.where(F.col("rank") <= top).select("word").write.mode("overwrite").text(f"{folder}/subset_vocab")
     sorted_.select("word").write.mode("overwrite").text(f"{folder}/word_vocab")
     sorted_.select(F.to_json(F.struct("word", F.col("rank").alias("id"))).alias("value")).write.mode("overwrite").text(f"{folder}/token2id")

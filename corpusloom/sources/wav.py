@@ -4,12 +4,16 @@ from __future__ import annotations
 
 import struct
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
+from io import BytesIO
+from typing import BinaryIO
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusloom.session import settle
 from corpusloom.sources import files
 
 PCM, FLOAT, EXTENSIBLE = 1, 3, 0xFFFE
@@ -19,31 +23,47 @@ class LoadError(ValueError):
     """The bytes are no recording that can be decoded here."""
 
 
-def parse(data: bytes) -> dict:
-    """rate, channels, bits, kind and the bytes of the samples of a RIFF/WAVE file."""
-    if len(data) < 12 or data[:4] != b"RIFF" or data[8:12] != b"WAVE":
+#: Names of sample formats by kind and bits (fixed values).
+SUBTYPES = {(PCM, 8): "PCM_U8", (PCM, 16): "PCM_16", (PCM, 24): "PCM_24", (PCM, 32): "PCM_32", (FLOAT, 32): "FLOAT", (FLOAT, 64): "DOUBLE"}
+
+
+def probe(file: BinaryIO, size: int) -> dict:
+    """rate, channels, bits, kind, subtype, frames and where the samples are in a RIFF/WAVE file of ``size`` bytes.
+
+    Only the heads of the file's chunks are read; samples are skipped.
+    """
+    head = file.read(12)
+    if len(head) < 12 or head[:4] != b"RIFF" or head[8:12] != b"WAVE":
         raise LoadError("no RIFF/WAVE header")
     at, form, body = 12, None, None
-    while at + 8 <= len(data):
-        name, size = data[at : at + 4], struct.unpack_from("<I", data, at + 4)[0]
+    while at + 8 <= size and (form is None or body is None):
+        file.seek(at)
+        name, length = struct.unpack("<4sI", file.read(8))
         if name == b"fmt ":
-            if size < 16 or at + 8 + 16 > len(data):
+            held = file.read(min(length, 40))
+            if length < 16 or len(held) < 16:
                 raise LoadError("the format chunk is too short")
-            kind, channels, rate, _, _, bits = struct.unpack_from("<HHIIHH", data, at + 8)
-            if kind == EXTENSIBLE and size >= 26:
-                kind = struct.unpack_from("<H", data, at + 32)[0]
+            kind, channels, rate, _, _, bits = struct.unpack_from("<HHIIHH", held)
+            if kind == EXTENSIBLE and len(held) >= 26:
+                kind = struct.unpack_from("<H", held, 24)[0]
             form = {"kind": kind, "channels": channels, "sample_rate": rate, "bits": bits}
         elif name == b"data":
-            body = data[at + 8 : at + 8 + size]
-        at += 8 + size + size % 2
+            body = at + 8, min(length, size - at - 8)
+        at += 8 + length + length % 2
     if form is None or body is None:
         raise LoadError("no format or no samples")
     if form["sample_rate"] <= 0 or form["channels"] <= 0:
         raise LoadError("rate and channels must be positive")
-    if (form["kind"], form["bits"]) not in {(PCM, 8), (PCM, 16), (PCM, 24), (PCM, 32), (FLOAT, 32), (FLOAT, 64)}:
+    if (form["kind"], form["bits"]) not in SUBTYPES:
         raise LoadError(f"samples of kind {form['kind']} with {form['bits']} bits")
-    width = form["channels"] * form["bits"] // 8
-    return form | {"frames": len(body) // width, "body": body[: len(body) // width * width]}
+    frames = body[1] // (form["channels"] * form["bits"] // 8)
+    return form | {"format": "WAV", "subtype": SUBTYPES[form["kind"], form["bits"]], "frames": frames, "start": body[0]}
+
+
+def parse(data: bytes) -> dict:
+    """What ``probe`` tells, and the bytes of the samples."""
+    held = probe(BytesIO(data), len(data))
+    return held | {"body": data[held["start"] : held["start"] + held["frames"] * held["channels"] * held["bits"] // 8]}
 
 
 def decode(data: bytes) -> tuple[np.ndarray, int]:
@@ -78,23 +98,33 @@ def _files(spark: SparkSession, path: str) -> DataFrame:
     return raw.select(files.plain(F.col("path")).alias("path"), "content").unionByName(void.select("path", F.lit("").cast("binary").alias("content")))
 
 
-def read_headers(spark: SparkSession, path: str) -> DataFrame:
-    """(path, sample_rate, channels, frames, duration, error): error says why a file can't be read, the rest is null then."""
+def read_headers(spark: SparkSession, path: str, files_a_task: int = 2000, threads: int = 8) -> DataFrame:
+    """(path, sample_rate, channels, frames, duration, format, subtype, error): error says why a file can't be read, the rest
+    is null then. Of a file only the heads of its chunks are read, by several threads a task."""
+
+    def one(row: tuple[str, int]) -> tuple:
+        path_, size = row
+        try:
+            store, at = files.store_of(path_)
+            with store.open_input_file(at) as f:
+                h = probe(f, size)
+            return (path_, h["sample_rate"], h["channels"], h["frames"], h["frames"] / h["sample_rate"], h["format"], h["subtype"], None)
+        except (LoadError, OSError) as e:
+            return (path_, None, None, None, None, None, None, str(e))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for p, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                try:
-                    h = parse(data)
-                    rows.append((p, h["sample_rate"], h["channels"], h["frames"], h["frames"] / h["sample_rate"], None))
-                except LoadError as e:
-                    rows.append((p, None, None, None, None, str(e)))
-            kinds = [pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.float64(), pa.string()]
-            columns = list(zip(*rows, strict=True)) if rows else [[]] * 6
-            yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["path", "sample_rate", "channels", "frames", "duration", "error"])
+        with ThreadPoolExecutor(threads) as pool:
+            for batch in batches:
+                rows = list(pool.map(one, zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)))
+                kinds = [pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.float64(), pa.string(), pa.string(), pa.string()]
+                columns = list(zip(*rows, strict=True)) if rows else [[]] * 8
+                names = ["path", "sample_rate", "channels", "frames", "duration", "format", "subtype", "error"]
+                yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
 
-    return _files(spark, path).select("path", "content").mapInArrow(run, "path string, sample_rate int, channels int, frames long, duration double, error string")
+    held = settle(files.list_files(spark, [path], ".wav", recursive=True).select("path", "size"), "files")
+    tasks = max(1, -(-held.count() // files_a_task))
+    shape = "path string, sample_rate int, channels int, frames long, duration double, format string, subtype string, error string"
+    return held.repartition(max(tasks, spark.sparkContext.defaultParallelism)).mapInArrow(run, shape)
 
 
 def read_clips(spark: SparkSession, path: str, mono: bool = True) -> DataFrame:
@@ -103,15 +133,16 @@ def read_clips(spark: SparkSession, path: str, mono: bool = True) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for p, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for p, data in zip(batch.column(0), batch.column(1), strict=True):
+                x, channels, rate, error = None, None, None, None
                 try:
-                    x, rate = decode(data)
-                    held = (x.mean(1, dtype=np.float32) if mono else x.ravel()).tolist()
-                    row = (held, 1 if mono else x.shape[1], rate, None)
+                    x, rate = decode(memoryview(data.as_buffer()).tobytes())
+                    channels, x = (1, x.mean(1, dtype=np.float32)) if mono else (x.shape[1], x.ravel())
                 except LoadError as e:
-                    row = (None, None, None, str(e))
-                kinds = [pa.list_(pa.float32()), pa.int32(), pa.int32(), pa.string()]
-                yield pa.record_batch([pa.array([p]), *[pa.array([v], k) for v, k in zip(row, kinds, strict=True)]], ["path", "samples", "channels", "sample_rate", "error"])
+                    error = str(e)
+                samples = pa.array([None], pa.list_(pa.float32())) if x is None else pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), pa.array(x))
+                rest = zip((channels, rate, error), (pa.int32(), pa.int32(), pa.string()), strict=True)
+                yield pa.record_batch([pa.array([p.as_py()], pa.string()), samples, *[pa.array([v], k) for v, k in rest]], ["path", "samples", "channels", "sample_rate", "error"])
 
     return _files(spark, path).select("path", "content").mapInArrow(run, "path string, samples array<float>, channels int, sample_rate int, error string")
 
