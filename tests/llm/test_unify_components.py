@@ -95,4 +95,46 @@ def test_a_split_of_ratio_0_gets_no_rows_and_no_heavy_components(spark, manifest
     got = {x.split: x.n for x in components.split_rows(df, given).groupBy("split").agg(F.count("*").alias("n")).collect()}
     assert set(got) == set(ratios) - {none} and sum(got.values()) == 2000
     assert all(abs(n / 2000 - ratios[k] / sum(ratios.values())) < 0.05 for k, n in got.items())
-    assert [len(d) for s, d in made if "placed" in s] == [0]  # no component is heavy
+    assert {len(d) for s, d in made if "placed" in s} == {0}  # no component is heavy
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_rows_keep_their_split_as_deliveries_are_added(spark, manifest, seed):
+    """Only rows of a component that was joined to another may move; proportions hold after every delivery."""
+    r = random.Random(seed)
+    rows = []
+    for i in range(4000):
+        k = 1 + i * 6 // 4000 if r.random() < 0.9 else r.randrange(1, 7)  # some rows come late
+        s = 1 if r.random() < 0.15 else r.randrange(2, 40 + 60 * k)
+        other = r.randrange(1, 40 + 60 * k) if r.random() < 0.004 else s
+        rows.append({"row_id": i, "utterance_id": f"AB_{s:07d}_{i:07d}", "speaker_id": f"{other:07d}", "dataset_id": "d" if s % 3 else "e", "delivery": k})
+    rows += [{"row_id": 9000 + i, "dataset_id": "d", "delivery": 1 + i % 3} for i in range(5)]
+
+    def at(k):
+        held = [q for q in rows if q["delivery"] <= k]
+        got = {x.row_id: x for x in components.split_rows(manifest(held), versions(spark)).collect()}
+        assert set(got) == {q["row_id"] for q in held}
+        ties = [(int(q["utterance_id"].split("_")[1]), int(q["speaker_id"])) for q in held if "speaker_id" in q]
+        whole = brute_components([e for e in ties if e[0] != e[1]])
+        of = {q["row_id"]: whole.get(int(q["utterance_id"].split("_")[1]), int(q["utterance_id"].split("_")[1])) for q in held if "utterance_id" in q}
+        return {i: x.split for i, x in got.items()}, of
+
+    last, last_of = at(6)
+    share = {s: sum(v == s for v in last.values()) / len(last) for s in ("train", "dev", "test")}
+    assert all(abs(share[s] - want) < 0.06 for s, want in {"train": 0.85, "dev": 0.075, "test": 0.075}.items())  # of 0.8 and 0.9
+    for c in set(last_of.values()):
+        assert len({last[i] for i, x in last_of.items() if x == c}) == 1
+    for k in (1, 3):
+        now, of = at(k)
+        merged = {c for c in set(last_of[i] for i in of) if len({of[i] for i in of if last_of[i] == c}) > 1}
+        assert all(now[i] == last[i] for i in now if i not in of or last_of[i] not in merged)
+
+
+def test_plans_only_grow():
+    plan = components.SplitPlan()
+    want = {"d": {"train": 80.0, "dev": 10.0, "test": 10.0}}
+    plan.fit(1, want, {}, [], {("d", c): 1 for c in range(0, 4000, 40)})
+    first = dict(plan.ends)
+    assert [s for s, _ in first["d", 1]] == ["train", "dev", "test"] and first["d", 1][0][1] == 3200 and first["d", 1][2][1] == components.CELLS
+    plan.fit(2, {"d": {k: 2 * v for k, v in want["d"].items()}}, {("d", "train"): 100}, [{"dataset": "d", "head": 7, "n": 12}], {("d", c): 1 for c in range(0, 4000, 40)})
+    assert plan.ends["d", 1] == first["d", 1] and plan.placed == {("d", 7): "train"} and plan.ends["d", 2][0][1] < 2900
