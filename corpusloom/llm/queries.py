@@ -3,6 +3,7 @@
 from corpusloom.functions import ids
 from corpusloom.llm import components, language, leak, mixture, overlap, packing, sample, terms, unify
 from corpusloom.plans.registry import Registry, table
+from corpusloom.session import working_path
 from pyspark.sql import functions as F
 
 REGISTRY = Registry()
@@ -26,7 +27,8 @@ UTTERANCE_SQL = r"""case when regexp_matches(utterance_id, '^\s*[A-Za-z]+[^A-Za-
 )
 def p2_sample(spark, folder):
     rows = table(spark, folder, "manifest").select("row_id", "utterance_id", "delivery")
-    return sample.sample_rows(rows, ids.utterance_key(F.col("utterance_id")), "delivery").select("row_id", "sample_key", "first_epoch", "rate")
+    ledger = working_path(spark, "ledger")  # a service would keep one; a query begins with an empty one
+    return sample.sample_rows(rows, ids.utterance_key(F.col("utterance_id")), "delivery", ledger).select("row_id", "sample_key", "first_epoch", "rate")
 
 
 TERMS_SQL = f"""with pieces as (select row_id, unnest(string_split_regex(text, '{WHITE}')) as term from manifest),
@@ -35,24 +37,24 @@ TERMS_SQL = f"""with pieces as (select row_id, unnest(string_split_regex(text, '
   marked as (select term, times, records, case when records <= 1 then 'rare' when records >= 0.05 * n then 'common' end as mark from counts, filled)"""
 
 
-def _marked(spark, folder):
-    rows = table(spark, folder, "manifest").select("text")
-    return terms.mark_terms(terms.count_terms(rows, "text"), terms.with_text(rows, "text"))
+def _counts(spark, folder):
+    blocks = terms.count_blocks(table(spark, folder, "manifest"), "text")
+    return terms.mark_terms(terms.count_terms(blocks, terms.dictionary(blocks)), terms.with_text(blocks))
 
 
 @REGISTRY.add("p3_found", f"{TERMS_SQL} select term, mark from marked where mark is not null")
 def p3_found(spark, folder):
-    return _marked(spark, folder).where("mark is not null").select("term", "mark")
+    return _counts(spark, folder).where("mark is not null").select("term", "mark")
 
 
 @REGISTRY.add("p3_counts", f"{TERMS_SQL} select term, cast(times as bigint) as times, cast(records as bigint) as records, mark from marked")
 def p3_counts(spark, folder):
-    return _marked(spark, folder).select("term", "times", "records", "mark")
+    return _counts(spark, folder).select("term", "times", "records", "mark")
 
 
 @REGISTRY.add("p3_dictionary")
 def p3_dictionary(spark, folder):
-    return terms.dictionary(terms.count_terms(table(spark, folder, "manifest"), "text"))
+    return _counts(spark, folder).select("term_id", "term", "times", "records")
 
 
 @REGISTRY.add("p6_found")

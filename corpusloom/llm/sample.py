@@ -30,18 +30,11 @@ def rate_of(epoch: Column, rates: Mapping[int, float]) -> Column:
     return out
 
 
-def first_seen(records: DataFrame, key: str, epoch: str, rates: Mapping[int, float] = RATES, ledger: DataFrame | None = None) -> DataFrame:
-    """(key, first_epoch, rate): a key's first epoch and the rate frozen then.
-
-    Keys already in ``ledger`` keep what it says; only unknown keys get the rate of their first epoch. Null keys and
-    null epochs are left out.
-    """
+def first_seen(records: DataFrame, key: str, epoch: str, rates: Mapping[int, float] = RATES) -> DataFrame:
+    """(key, first_epoch, rate): a key's first epoch and the rate of that epoch. Null keys and epochs are left out."""
     new = records.where(F.col(key).isNotNull() & F.col(epoch).isNotNull())
-    if ledger is not None:
-        new = new.join(ledger.select(key), key, "left_anti")
     new = new.groupBy(key).agg(F.min(epoch).alias("first_epoch"))
-    new = new.withColumn("rate", rate_of(F.col("first_epoch"), rates))
-    return new if ledger is None else ledger.select(key, "first_epoch", "rate").unionByName(new)
+    return new.withColumn("rate", rate_of(F.col("first_epoch"), rates))
 
 
 def extend_ledger(records: DataFrame, key: str, epoch: str, folder: str, rates: Mapping[int, float] = RATES) -> DataFrame:
@@ -58,18 +51,32 @@ def extend_ledger(records: DataFrame, key: str, epoch: str, folder: str, rates:
     return spark.read.parquet(folder)
 
 
-def sample_rows(records: DataFrame, key: Column, epoch: str, rates: Mapping[int, float] = RATES, seed: int = SEED, ledger: DataFrame | None = None) -> DataFrame:
+def fill_ledger(records: DataFrame, key: str, epoch: str, folder: str, rates: Mapping[int, float] = RATES) -> DataFrame:
+    """Takes the epochs of ``records`` into the ledger in ``folder`` one after the other, and returns the whole ledger.
+
+    A key belongs to the first epoch it comes with; what the ledger already says about it is never changed. Rows without
+    key or epoch are left out; without any other row the ledger is empty.
+    """
+    epochs = sorted(r[0] for r in records.where(F.col(epoch).isNotNull()).select(epoch).distinct().collect())  # a row an epoch
+    for e in epochs:
+        extend_ledger(records.where(F.col(epoch) == e), key, epoch, folder, rates)
+    if not epochs:
+        extend_ledger(records, key, epoch, folder, rates)
+    return records.sparkSession.read.parquet(folder)
+
+
+def sample_rows(records: DataFrame, key: Column, epoch: str, folder: str, rates: Mapping[int, float] = RATES, seed: int = SEED) -> DataFrame:
     """The rows of all chosen keys, with sample_key, draw, first_epoch and rate added.
 
-    Rows without key or epoch are never chosen. Draws depend on the key alone, so rows that no rate could choose are
-    dropped before any shuffle. An empty table gives an empty sample; columns of the four names are replaced.
+    ``folder`` holds the ledger of first epochs and frozen rates; the epochs of ``records`` are taken into it first, in
+    order, so Spark jobs run when this is called. Rows without key or epoch are never chosen. Draws depend on the key
+    alone: chosen keys are picked from the ledger, and only rows that some rate could choose are shuffled. An empty table
+    gives an empty sample; columns of the four names are replaced.
     """
-    most = max(rates.values())
-    if ledger is not None:
-        most = max(most, ledger.agg(F.max("rate")).first()[0] or 0.0)
     made = ("sample_key", "draw", "first_epoch", "rate")
     rows = records.withColumn("_sample_key", key).drop(*(c for c in made if c != epoch)).withColumnRenamed("_sample_key", "sample_key")
-    rows = rows.withColumn("draw", draw(F.col("sample_key"), seed))
-    rows = rows.where(F.col("draw") < most)
-    seen = first_seen(rows.select("sample_key", epoch), "sample_key", epoch, rates, ledger)
-    return rows.join(seen, "sample_key").where(F.col("draw") < F.col("rate"))
+    ledger = fill_ledger(rows.select("sample_key", epoch), "sample_key", epoch, folder, rates)
+    chosen = ledger.withColumn("draw", draw(F.col("sample_key"), seed)).where(F.col("draw") < F.col("rate"))
+    most = ledger.agg(F.max("rate")).first()[0] or 0.0
+    rows = rows.where(F.col(epoch).isNotNull() & (draw(F.col("sample_key"), seed) < most))
+    return rows.join(chosen, "sample_key")

@@ -1,8 +1,7 @@
 """How often every term occurs in a whole collection, and in how many records.
 
-Blocks of records are counted in the workers; the partial counts of a term meet in one partition, where the terms get
-their places in a global integer dictionary (every partition owns a range of identifiers), the blocks' counts are
-encoded with it and summed in arrays indexed by identifier.
+Blocks of records number their own terms and count them in arrays. A global integer dictionary is made of the blocks'
+terms; with it the blocks' arrays are encoded, and the arrays are summed by ranges of identifiers.
 """
 
 from __future__ import annotations
@@ -19,88 +18,106 @@ from pyspark.sql import functions as F
 from corpusloom.session import settle
 
 _PIECES = regex.compile(r"[^\p{White_Space}]+")
-#: A text of nothing but white space, for Java's expressions.
-BLANK = r"^[\t-\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]*$"
-#: Distinct terms a worker holds before it hands on its partial counts.
+#: Distinct terms a block holds at most (but for those of one record).
 BLOCK_TERMS = 200_000
+#: Identifiers of a range: the length of the arrays that are summed.
+RANGE = 1 << 16
 
 
 def _count_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total, rows = Counter(), Counter()
+    """Distinct terms of each block with its count arrays; a null term says how many records hold any."""
+    total, rows, filled = Counter(), Counter(), 0
 
     def handed():
-        terms = list(total)
+        terms = [None, *total]
         made = pa.record_batch(
-            {"term": pa.array(terms, pa.string()), "times": pa.array([total[t] for t in terms], pa.int64()), "records": pa.array([rows[t] for t in terms], pa.int64())}
-        )
+            {
+                "term": pa.array(terms, pa.string()), "times": pa.array([filled, *total.values()], pa.int64()),
+                "records": pa.array([filled, *(rows[t] for t in total)], pa.int64()),
+            }
+        )
         total.clear(), rows.clear()
         return made
 
     for batch in batches:
         for text in batch.column(0).to_pylist():
-            if not text:
+            pieces = _PIECES.findall(text) if text else ()
+            if not pieces:
                 continue
-            pieces = _PIECES.findall(text)
+            filled += 1
             total.update(pieces)
             rows.update(set(pieces))
             if len(total) >= BLOCK_TERMS:
                 yield handed()
+                filled = 0
     yield handed()
 
 
 def _sum_ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Dictionary and count arrays of the terms of one partition; ``place`` counts from 0 in the order of terms."""
-    place: dict[str, int] = {}
-    times, records = np.zeros(1024, np.int64), np.zeros(1024, np.int64)
+    """Sums the encoded counts of one range after the other; rows come in order of their ranges."""
+    now, times, records = None, np.zeros(RANGE, np.int64), np.zeros(RANGE, np.int64)
+
+    def summed():
+        held = np.flatnonzero(times)
+        made = pa.record_batch({"term_id": pa.array(held + now * RANGE), "times": pa.array(times[held]), "records": pa.array(records[held])})
+        times[:], records[:] = 0, 0
+        return made
+
     for batch in batches:
-        code = np.fromiter((place.setdefault(t, len(place)) for t in batch.column(0).to_pylist()), np.int64, batch.num_rows)
-        if len(place) > len(times):
-            more = np.zeros(max(len(place), 2 * len(times)) - len(times), np.int64)
-            times, records = np.concatenate([times, more]), np.concatenate([records, more])
-        np.add.at(times, code, batch.column(1).to_numpy())
-        np.add.at(records, code, batch.column(2).to_numpy())
-    terms = pa.array(list(place), pa.string())
-    order = pa.compute.array_sort_indices(terms).to_numpy() if len(terms) else np.zeros(0, np.int64)
-    for i in range(0, len(order), 50_000):
-        o = order[i : i + 50_000]
-        yield pa.record_batch(
-            {
-                "place": pa.array(np.arange(i, i + len(o)), pa.int64()), "term": terms.take(pa.array(o)),
-                "times": pa.array(times[o]), "records": pa.array(records[o]),
-            }
-        )
+        ids, t, r = (batch.column(i).to_numpy() for i in range(3))
+        ranges = ids // RANGE
+        cuts = [0, *(np.flatnonzero(np.diff(ranges)) + 1).tolist(), len(ids)]
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            if a == b:
+                continue
+            if now is not None and now != ranges[a]:
+                yield summed()
+            now = ranges[a]
+            np.add.at(times, ids[a:b] % RANGE, t[a:b])
+            np.add.at(records, ids[a:b] % RANGE, r[a:b])
+    if now is not None:
+        yield summed()
 
 
-def count_terms(records: DataFrame, text: str) -> DataFrame:
-    """(place, term, times, records): each distinct term with its occurrences and the records that hold it.
+def count_blocks(records: DataFrame, text: str) -> DataFrame:
+    """(term, times, records): the distinct terms of every block with their counts there, written once.
 
-    Terms are the pieces between characters of the Unicode property White_Space, as stored. Null, empty and blank
-    texts hold no term. ``place`` is the term's place within its partition's range; ``dictionary`` makes it global.
+    Terms are the pieces between characters of the Unicode property White_Space, as stored. Null, empty and blank texts
+    hold none. A row without term gives the records of a block that hold one.
     """
-    blocks = records.select(F.col(text)).mapInArrow(_count_blocks, "term string, times long, records long")
-    blocks = blocks.repartition(F.col("term"))
-    return blocks.mapInArrow(_sum_ranges, "place long, term string, times long, records long")
+    return settle(records.select(F.col(text)).mapInArrow(_count_blocks, "term string, times long, records long"), "blocks")
 
 
-def dictionary(counts: DataFrame) -> DataFrame:
-    """Adds term_id, dense from 0 over the whole collection; ``counts`` is what count_terms gives.
+def dictionary(blocks: DataFrame) -> DataFrame:
+    """(term_id, term): all terms of the blocks, numbered from 0 without gaps; every partition owns a range of numbers.
 
-    The counts are written once first, so identifiers stay the same if a partition is read again.
+    The terms are written once with their places, so a number stays the same if a partition is read again.
     """
-    kept = settle(counts.withColumn("part", F.spark_partition_id()), "terms")
-    sizes = {r["part"]: r["n"] for r in kept.groupBy("part").agg(F.count("*").alias("n")).collect()}  # one row a partition
+    placed = blocks.where("term is not null").select("term").distinct().withColumn("_m", F.monotonically_increasing_id())
+    placed = settle(placed.select("term", F.shiftright("_m", 33).alias("part"), F.col("_m").bitwiseAND(F.lit((1 << 33) - 1)).alias("place")), "dictionary")
     starts, at = [], 0
-    for part in sorted(sizes):
-        starts.append((part, at))
-        at += sizes[part]
-    first = kept.sparkSession.createDataFrame(starts, "part int, start long")
-    return kept.join(F.broadcast(first), "part").select((F.col("start") + F.col("place")).alias("term_id"), "term", "times", "records")
+    for r in sorted(placed.groupBy("part").agg(F.count("*").alias("n")).collect()):  # a row a partition
+        starts.append((r["part"], at))
+        at += r["n"]
+    first = placed.sparkSession.createDataFrame(starts, "part long, start long")
+    return placed.join(F.broadcast(first), "part").select((F.col("start") + F.col("place")).alias("term_id"), "term")
+
+
+def count_terms(blocks: DataFrame, numbered: DataFrame) -> DataFrame:
+    """(term_id, term, times, records): the blocks' counts encoded with the dictionary and summed by ranges of identifiers.
+
+    A task holds the arrays of one range at a time, whatever the number of terms or blocks.
+    """
+    encoded = blocks.join(numbered, "term").select("term_id", "times", "records")
+    ranges = F.expr(f"term_id div {RANGE}")
+    encoded = encoded.repartition(ranges).sortWithinPartitions(ranges)
+    sums = encoded.mapInArrow(_sum_ranges, "term_id long, times long, records long")
+    return sums.join(numbered, "term_id").select("term_id", "term", "times", "records")
 
 
-def with_text(records: DataFrame, text: str) -> int:
-    """The records whose text is neither null nor blank."""
-    blank = F.col(text).rlike(BLANK)
-    return records.where(F.col(text).isNotNull() & ~blank).count()
+def with_text(blocks: DataFrame) -> int:
+    """The records of the blocks whose text is neither null nor blank."""
+    return blocks.where("term is null").agg(F.coalesce(F.sum("records"), F.lit(0))).first()[0]
 
 
 def mark_terms(counts: DataFrame, filled: int, rare: int = 1, common: float = 0.05) -> DataFrame:
