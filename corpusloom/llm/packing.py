@@ -9,6 +9,7 @@ their class has been given.
 
 from __future__ import annotations
 
+import warnings
 from dataclasses import dataclass
 
 import numpy as np
@@ -18,6 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions import ids
+from corpusloom.operators.grouped import grouped_median
 from corpusloom.session import settle
 
 
@@ -26,7 +28,7 @@ class PackConfig:
     """classes: length classes of a window; slack: classes a combination may leave unused; wanted: mean items of a
     window; block: items placed in one call."""
 
-    classes: int = 160
+    classes: int = 480
     slack: int = 1
     wanted: float = 2.6
     block: int = 20_000
@@ -42,63 +44,70 @@ def combinations(classes: int, slack: int) -> np.ndarray:
     return np.array(rows, np.int64)
 
 
-def least_squares(columns: np.ndarray, wanted: np.ndarray, rounds: int = 400) -> np.ndarray:
+def least_squares(columns: np.ndarray, wanted: np.ndarray, rounds: int = 3000) -> np.ndarray:
     """x >= 0 that minimises |sum of x[j] * (counts of columns[j]) - wanted|, by the active set method.
 
-    columns: rows of three class numbers, 0 for none; wanted: figures by class, wanted[0] unused.
+    columns: rows of three class numbers, 0 for none; wanted: figures by class, wanted[0] unused. If ``rounds`` are not
+    enough, a RuntimeWarning says so; the repeats found so far are still of use.
     """
-    n, x, active = len(columns), np.zeros(len(columns)), []
-    target = wanted.astype(float).copy()
+    x, target = np.zeros(len(columns)), wanted.astype(float).copy()
     target[0] = 0.0
-
-    def dense(js: list[int]) -> np.ndarray:
-        out = np.zeros((len(target), len(js)))
-        for part in range(3):
-            np.add.at(out, (columns[js, part], np.arange(len(js))), 1.0)
-        out[0] = 0.0
-        return out
-
-    if not n:
+    if not len(columns):
         return x
+    active: list[int] = []
+    dense, gram, z = np.zeros((len(target), 0)), np.zeros((0, 0)), np.zeros(0)
     tolerance = 1e-9 * max(1.0, np.abs(target).max())
     for _ in range(rounds):
-        left = target - (dense(active) @ x[active] if active else 0.0)
+        left = target - dense @ x[active]
         left[0] = 0.0
         slope = left[columns].sum(1)
         slope[active] = -np.inf
         j = int(slope.argmax())
         if slope[j] <= tolerance:
-            break
-        active.append(j)
+            return x
+        column = np.bincount(columns[j], minlength=len(target)).astype(float)
+        column[0] = 0.0
+        side = dense.T @ column
+        gram = np.block([[gram, side[:, None]], [side[None, :], column @ column]])
+        dense, active = np.column_stack([dense, column]), [*active, j]
         while True:
-            z = np.linalg.lstsq(dense(active), target, rcond=None)[0]
+            z = np.linalg.solve(gram + 1e-10 * np.eye(len(active)), dense.T @ target)
             if (z > 0).all():
                 x[:] = 0.0
                 x[active] = z
                 break
-            now = x[active]
-            bad = z <= 0
+            now, bad = x[active], z <= 0
             step = min(1.0, float((now[bad] / np.maximum(now[bad] - z[bad], 1e-300)).min()))
             now = now + step * (z - now)
             keep = now > 1e-12 * max(1.0, now.max())
             x[:] = 0.0
             active = [a for a, k in zip(active, keep, strict=True) if k]
             x[active] = now[keep]
+            dense, gram = dense[:, keep], gram[np.ix_(keep, keep)]
             if not active:
                 break
+    warnings.warn(f"least squares ended after {rounds} rounds", RuntimeWarning, stacklevel=2)
     return x
 
 
 def plan_containers(counts: dict[int, int], classes: int, parts: int, slack: int = 1) -> tuple[list[tuple], int]:
     """Ranges (class, first rank, end rank, items a unit, first unit, units a container) and the number of containers.
 
-    counts: items by class, of 1 to classes * parts. Units are windows (``parts`` a container) or whole containers.
+    counts: items by class, of 1 to classes * parts. Units are windows (``parts`` a container) or whole containers. Where
+    filling containers greedily takes fewer of them than windows and greedy filling of what is left, no windows are made.
     """
+    ranges, made = _plan(counts, classes, parts, slack)
+    plain, fewer = _plan(counts, classes, parts, None)
+    return (plain, fewer) if fewer < made else (ranges, made)
+
+
+def _plan(counts: dict[int, int], classes: int, parts: int, slack: int | None) -> tuple[list[tuple], int]:
+    """``plan_containers``, with windows that leave ``slack`` classes or without any (None)."""
     capacity = classes * parts
     left = np.zeros(capacity + 1, np.int64)
     for c, n in counts.items():
         left[c] = n
-    combos = combinations(classes, slack)
+    combos = combinations(classes, slack) if slack is not None else np.zeros((0, 3), np.int64)
     combos = combos[(left[combos] > 0).all(1, where=combos > 0)] if len(combos) else combos
     total = max(int(left[: classes + 1].sum()), 1)
     repeats = np.floor(least_squares(combos, left[: classes + 1] / total) * total + 1e-9).astype(np.int64)
@@ -232,8 +241,7 @@ def pack(items: DataFrame, plans: DataFrame, config: PackConfig = PackConfig())
     blocks = max(1, -(-total // config.block))
     rows = rows.withColumn("block", F.pmod(F.xxhash64("item", "row_id"), F.lit(blocks)).cast("int"))
     # The usual length ignores what no container can hold; a mean of values beyond it would be ruled by a few errors.
-    middle = F.expr("percentile_approx(seconds, 0.5, 1000)")
-    usual = rows.groupBy("dataset_id").agg(middle.alias("usual"))
+    usual = grouped_median(rows, "dataset_id", "seconds").withColumnRenamed("median", "usual")
     wanted = {r["plan_id"]: r["capacity_seconds"] for r in plans.where("capacity_seconds > 0").select("plan_id", "capacity_seconds").collect()}  # settings
     each = [F.struct(F.lit(k).cast("int").alias("plan_id"), F.lit(float(v)).alias("capacity")) for k, v in sorted(wanted.items())]
     empty = F.array().cast("array<struct<plan_id:int,capacity:double>>")
@@ -253,7 +261,8 @@ def pack(items: DataFrame, plans: DataFrame, config: PackConfig = PackConfig())
     before = Window.partitionBy(*_GROUP, "class").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     placed = counts.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0)))
     histogram = counts.groupBy(*_GROUP, F.col("container_parts").alias("parts"), "class").agg(F.sum("n").alias("n"))
-    ranges = settle(histogram.groupBy(*_GROUP).applyInPandas(_planner(config), _RANGES), "ranges")
+    groups = max(1, min(1000, grid.count()))  # a task for each dataset and plan, as planning takes seconds
+    ranges = settle(histogram.repartition(groups, *_GROUP).groupBy(*_GROUP).applyInPandas(_planner(config), _RANGES), "ranges")
     chunks = placed.alias("p").join(ranges.alias("r"), [*_GROUP, "class"])
     chunks = chunks.where("r.first < p.before + p.n and r.end > p.before")
     chunks = chunks.select("block", *_GROUP, "capacity", "container_parts", "class", "before", "first", "per", "unit", "parts")
@@ -270,9 +279,17 @@ def utterances(manifest: DataFrame) -> DataFrame:
 
 
 def fill_report(packed: DataFrame, plans: DataFrame) -> DataFrame:
-    """(plan_id, dataset_id, containers, seconds, unused_share, most): how well the containers are filled."""
-    each = packed.groupBy("plan_id", "dataset_id", "container").agg(F.sum("seconds").alias("s"))
-    each = each.join(F.broadcast(plans.select("plan_id", "capacity_seconds")), "plan_id")
+    """(plan_id, dataset_id, containers, seconds, unused_share, most, cut_containers, filled_containers, filled_unused_share):
+    how well the containers are filled.
+
+    cut_containers hold a whole piece cut from an utterance longer than a container and waste nothing; a few implausibly
+    long readings can make them nearly all. The last two columns are of the other containers, whose filling is the packing.
+    """
+    one = packed.join(F.broadcast(plans.select("plan_id", "capacity_seconds")), "plan_id")
+    each = one.groupBy("plan_id", "dataset_id", "container", "capacity_seconds").agg(F.sum("seconds").alias("s"), F.count("*").alias("n"))
+    cut = (F.col("n") == 1) & (F.col("s") >= F.col("capacity_seconds"))
+    unused = lambda when: 1 - F.sum(F.when(when, F.col("s"))) / F.sum(F.when(when, F.col("capacity_seconds")))
     return each.groupBy("plan_id", "dataset_id").agg(
-        F.count("*").alias("containers"), F.sum("s").alias("seconds"), (1 - F.sum("s") / F.sum("capacity_seconds")).alias("unused_share"), F.max(F.col("s") / F.col("capacity_seconds")).alias("most")
-    )
+        F.count("*").alias("containers"), F.sum("s").alias("seconds"), unused(F.lit(True)).alias("unused_share"), F.max(F.col("s") / F.col("capacity_seconds")).alias("most"),
+        F.count_if(cut).alias("cut_containers"), F.count_if(~cut).alias("filled_containers"), unused(~cut).alias("filled_unused_share"),
+    )

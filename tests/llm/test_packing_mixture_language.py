@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 from corpusloom.llm import language, mixture, packing
 from pyspark.sql import functions as F
@@ -151,3 +152,37 @@ def test_label_codes(spark, label, code):
 def test_absorb_joins_what_a_borrowed_word_parts():
     assert language.absorb([["a", 9], ["b", 1], ["a", 17], ["b", 1], ["a", 14], ["c", 71]], 15) == [["a", 42], ["c", 71]]
     assert language.absorb([["a", 5], ["b", 6]], 15) == [["b", 11]]
+
+
+def test_containers_are_the_same_in_any_partitioning(spark):
+    r = random.Random(12)
+    rows = [("d" if i % 3 else "e", f"u{i:04d}", i, round(r.choice([r.uniform(0.5, 11), 6.0]), 3)) for i in range(900)] + [("d", "long", 9000, 75.5)]
+    plans = spark.createDataFrame([(1, 12.0), (2, 30.0)], "plan_id int, capacity_seconds double")
+    items = spark.createDataFrame(rows, "dataset_id string, item string, row_id long, seconds double")
+    one, seven = (sorted(tuple(x) for x in packing.pack(df, plans).collect()) for df in (items.coalesce(1), items.repartition(7)))
+    assert one == seven
+    report = {(x.plan_id, x.dataset_id): x for x in packing.fill_report(packing.pack(items, plans), plans).collect()}
+    got = report[1, "d"]
+    assert got.cut_containers == 6 and got.containers == got.filled_containers + 6 and 0 <= got.unused_share < got.filled_unused_share < 0.35
+    assert report[1, "e"].cut_containers == 0 and report[1, "e"].unused_share == report[1, "e"].filled_unused_share
+
+
+def test_least_squares_says_when_it_is_not_done():
+    columns = packing.combinations(40, 1)
+    wanted = np.random.default_rng(1).uniform(0, 5, 41)
+    with pytest.warns(RuntimeWarning, match="after 3 rounds"):
+        packing.least_squares(columns, wanted, rounds=3)
+    x = packing.least_squares(columns, wanted)
+    dense = np.zeros((41, len(columns)))
+    for j, c in enumerate(columns):
+        np.add.at(dense[:, j], c[c > 0], 1)
+    left = wanted - dense @ x
+    left[0] = 0
+    slope = dense.T @ left
+    assert (x >= 0).all() and slope.max() < 1e-6 and np.abs(slope[x > 0]).max() < 1e-6  # what holds of the best x alone
+
+
+def test_greedy_filling_is_taken_where_it_needs_fewer_containers():
+    counts = {7: 30, 5: 30, 12: 4, 3: 11}
+    made = packing.plan_containers(counts, 12, 1)[1]
+    assert made <= min(packing._plan(counts, 12, 1, s)[1] for s in (None, 1))
