@@ -7,6 +7,8 @@ share, eight-word windows written under each of them show where the language cha
 
 from __future__ import annotations
 
+import heapq
+import math
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -20,23 +22,26 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import textform as tf
 
-#: Codes as the documents give them, and three-letter codes for them (fixed values).
-LANGUAGES = ("ta", "ta-Latn", "en", "hi", "mr", "te", "ml")
+#: Three-letter codes with the codes that documents have (fixed values).
 THREE_LETTER = {"tam": "ta", "eng": "en", "hin": "hi", "mar": "mr", "tel": "te", "mal": "ml"}
 MISSING = ("", "und")
 
 
 @dataclass(frozen=True)
 class LanguageConfig:
-    """sample: documents a language is trained on at most, longest: characters of such a document at most; dictionary: bytes of a dictionary; rounds: passes that drop
-    sample documents of another language than their label, at last those with passages of another; level: of the compressor; passage: fewest words of a passage;
+    """share: a label names a language if at least this share of the labelled documents carry it; sample: documents a language
+    is trained on at most, longest: characters of such a document at most; dictionary: bytes of a dictionary, taken evenly
+    from all sample documents in stretches of ``stretch`` words; rounds: passes that drop sample documents of another
+    language than their label, at last those with passages of another; level: of the compressor; passage: fewest words of a passage;
     window, step: words of a window and between windows; slack: bytes by which a window must speak for another
     language before a passage is looked at closely; switch: bytes a change of language costs; margin: share by which
     the second-best language must be longer, else the passage has no language."""
 
+    share: float = 0.005
     sample: int = 300
     longest: int = 20_000
     dictionary: int = 110_000
+    stretch: int = 24
     rounds: int = 3
     level: int = 3
     passage: int = 15
@@ -49,7 +54,7 @@ class LanguageConfig:
 
 
 def label_code(label: Column) -> Column:
-    """The language a label names, by the codes in LANGUAGES; null for a missing label, the label itself otherwise.
+    """The language a label names, as a code of two letters where one is known; null for a missing label.
 
     Case, region, ``_`` for ``-`` and three-letter codes don't matter; Tamil with a subtag ``latn`` is ta-Latn.
     """
@@ -86,13 +91,21 @@ class Languages:
         self._fill(kept)
 
     def _fill(self, texts: dict[str, list[list[str]]]) -> None:
-        self.data = {k: " ".join(" ".join(w) for w in v).encode()[: self.config.dictionary] for k, v in texts.items()}
+        self.data = {k: self._drawn(v) for k, v in texts.items()}
         self.script = {}
         for k, v in texts.items():
             held = Counter(filter(None, (word_script(w) for words in v for w in words)))
             self.script[k] = held.most_common(1)[0][0] if held else ""
         self._open()
 
+    def _drawn(self, texts: list[list[str]]) -> bytes:
+        """Stretches of all texts at even distances, as many as the dictionary holds."""
+        n, limit = self.config.stretch, self.config.dictionary
+        pieces = [" ".join(w[i : i + n]).encode() for w in texts for i in range(0, len(w), n)]
+        step = max(1.0, sum(len(p) + 1 for p in pieces) / limit)
+        kept = [pieces[int(i * step)] for i in range(int(len(pieces) / step))]
+        return b" ".join(kept)[:limit]
+
     def _open(self) -> None:
         self.made = []
         for k in self.names:
@@ -184,23 +197,41 @@ def word_script(word: str) -> str:
 
 
 def absorb(runs: list[list], least: int) -> list[list]:
-    """Runs [mark, length] without those shorter than ``least``: each goes, shortest first, to its longer neighbour."""
-    while len(runs) > 1:
-        at = min(range(len(runs)), key=lambda i: runs[i][1])
-        if runs[at][1] >= least:
+    """Runs [mark, length] without those shorter than ``least``: each goes, shortest first (the first of equal ones), to its
+    longer neighbour (the one before if they are equal), and neighbours of one mark become one run.
+
+    Runs are a linked list and the shortest is found in a heap, so a text of many runs takes little more than its length.
+    """
+    mark, length = [r[0] for r in runs], [r[1] for r in runs]
+    before, after = list(range(-1, len(runs) - 1)), [*range(1, len(runs)), -1]
+    heap, alive = [(n, i) for i, n in enumerate(length)], len(runs)
+    heapq.heapify(heap)
+
+    def drop(i: int) -> None:
+        if before[i] >= 0:
+            after[before[i]] = after[i]
+        if after[i] >= 0:
+            before[after[i]] = before[i]
+        length[i] = 0
+
+    while alive > 1:
+        n, i = heapq.heappop(heap)
+        if length[i] != n:
+            continue  # it has grown or gone since
+        if n >= least:
             break
-        sides = [i for i in (at - 1, at + 1) if 0 <= i < len(runs)]
-        to = max(sides, key=lambda i: runs[i][1])
-        runs[to][1] += runs[at][1]
-        del runs[at]
-        merged: list[list] = []
-        for r in runs:
-            if merged and merged[-1][0] == r[0]:
-                merged[-1][1] += r[1]
-            else:
-                merged.append(r)
-        runs = merged
-    return runs
+        left, right = before[i], after[i]
+        to = right if left < 0 or right >= 0 and length[right] > length[left] else left
+        length[to] += n
+        drop(i)
+        alive -= 1
+        if left >= 0 and right >= 0 and mark[left] == mark[right]:
+            length[left] += length[right]
+            drop(right)
+            alive -= 1
+            to = left
+        heapq.heappush(heap, (length[to], to))
+    return [[m, n] for m, n in zip(mark, length, strict=True) if n]
 
 
 def script_runs(words: list[str], least: int) -> list[tuple[int, int, str]]:
@@ -226,17 +257,22 @@ def script_runs(words: list[str], least: int) -> list[tuple[int, int, str]]:
 def train(documents: DataFrame, config: LanguageConfig = LanguageConfig()) -> Languages:
     """Dictionaries from at most about ``sample`` labelled documents a language, chosen by a hash of doc_id.
 
-    Labels may be wrong in places: sample documents that another language writes shorter are left out. A language without
-    labelled documents is not known; if no document carries a known label, no language is, and passages have none.
+    Languages are those that labels name, but for labels that less than ``share`` of the labelled documents carry. Labels may
+    be wrong in places: sample documents that another language writes shorter are left out. If no document carries a label,
+    no language is known, and passages have none.
     """
-    rows = documents.select("doc_id", "text", label_code(F.col("lang")).alias("code")).where(F.col("code").isin(*LANGUAGES) & F.length("text").between(1, config.longest))
-    counts = {r["code"]: r["count"] for r in rows.groupBy("code").count().collect()}  # a row a language
+    rows = documents.select("doc_id", "text", label_code(F.col("lang")).alias("code")).where(F.col("code").isNotNull() & F.length("text").between(1, config.longest))
+    most = max(1, math.floor(1 / config.share))  # no more labels can have that share
+    counts = {r["code"]: r["count"] for r in rows.groupBy("code").count().orderBy(F.col("count").desc(), "code").limit(most).collect()}
+    total = rows.count()
+    counts = {k: n for k, n in counts.items() if n >= config.share * total}
     if not counts:
         return Languages({}, config)
+    rows = rows.where(F.col("code").isin(*counts))
     share = F.create_map(*[F.lit(x) for code, n in counts.items() for x in (code, min(1.0, config.sample / n))])
     drawn = rows.where(F.pmod(F.xxhash64("doc_id", F.lit(config.seed)), F.lit(1 << 30)) / float(1 << 30) < F.element_at(share, F.col("code")))
     texts: dict[str, list[tuple[int, list[str]]]] = {}
-    for r in drawn.collect():
+    for r in drawn.collect():  # the bounded sample
         texts.setdefault(r["code"], []).append((r["doc_id"], tf.words(r["text"])))
     return Languages({k: [w for _, w in sorted(v)] for k, v in texts.items()}, config)
 

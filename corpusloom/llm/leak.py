@@ -132,7 +132,7 @@ def leak_hits(documents: DataFrame, items: DataFrame, config: LeakConfig = LeakC
     docs = documents.select(F.col("doc_id").alias("id"), "text")
     grams = asked.select("gram").distinct()
     if grams.limit(config.known + 1).count() <= config.known:
-        kept = np.sort(np.array([r[0] for r in grams.collect()], np.int64).view(np.uint64))
+        kept = np.sort(grams.toArrow().column(0).to_numpy().astype(np.int64).view(np.uint64))
         held = documents.sparkSession.sparkContext.broadcast(kept)
         found = docs.mapInArrow(_emit(config, held), _NEAR)
     else:

@@ -4,12 +4,13 @@ A document's rate, the mean number of its copies, is the exponential of a multip
 source's cap: of all rates that give the wanted tokens these are nearest to one copy of each document in relative
 entropy. The multiples are the solution of a convex dual problem, found by Newton steps whose sums are taken over all
 documents by the executors. Rates are then rounded to copies in order of length, so that the rounding errors of
-neighbours cancel.
+neighbours cancel, and what a source still lacks or has too much in tokens is made up by single copies.
 """
 
 from __future__ import annotations
 
 import math
+import os
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -25,14 +26,16 @@ TOKENIZER = "/opt/tokenizers/piece_bpe_32k.model"
 
 @dataclass(frozen=True)
 class MixConfig:
-    """tokenizer: path of a sentencepiece model; steps: most Newton steps; precise: relative error of a source's tokens at
-    which they end; piece: documents ordered in one task when rates are rounded; seed: of that order's start."""
+    """tokenizer: path of a sentencepiece model on the driver; steps: most Newton steps; precise: relative error of a source's
+    tokens at which they end; piece: documents ordered in one task when rates are rounded; seed: of that order's start;
+    fixes: most copies a source that are added or taken back after rounding."""
 
     tokenizer: str = TOKENIZER
     steps: int = 40
     precise: float = 1e-7
     piece: int = 50_000
     seed: int = 3
+    fixes: int = 8
 
 
 def source_name(source: Column) -> Column:
@@ -41,11 +44,12 @@ def source_name(source: Column) -> Column:
     return F.when(name != "", name)
 
 
-def _counter(path: str):
+def _counter(name: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import sentencepiece
+        from pyspark import SparkFiles
 
-        model = sentencepiece.SentencePieceProcessor(model_file=path)
+        model = sentencepiece.SentencePieceProcessor(model_file=SparkFiles.get(name))
         for batch in batches:
             made = model.encode(batch.column(2).to_pylist(), num_threads=1) if batch.num_rows else []
             yield pa.record_batch({"doc_id": batch.column(0), "source": batch.column(1), "tokens": pa.array([len(m) for m in made], pa.int64())})
@@ -54,9 +58,13 @@ def _counter(path: str):
 
 
 def count_tokens(documents: DataFrame, sources: list[str], tokenizer: str = TOKENIZER) -> DataFrame:
-    """(doc_id, source, tokens) of the documents of these sources; null and empty texts and texts of no token are left out."""
+    """(doc_id, source, tokens) of the documents of these sources; null and empty texts and texts of no token are left out.
+
+    The tokenizer is read on the driver and sent to the executors as a file of the application.
+    """
+    documents.sparkSession.sparkContext.addFile(tokenizer)
     rows = documents.select("doc_id", source_name(F.col("source")).alias("source"), "text").where(F.col("source").isin(*sources) & (F.length("text") > 0))
-    return rows.mapInArrow(_counter(tokenizer), "doc_id long, source string, tokens long").where("tokens > 0")
+    return rows.mapInArrow(_counter(os.path.basename(tokenizer)), "doc_id long, source string, tokens long").where("tokens > 0")
 
 
 def reachable(tokens: dict[str, int], shares: dict[str, float], caps: dict[str, int]) -> float:
@@ -102,9 +110,34 @@ def solve_rates(histogram: DataFrame, wanted: dict[str, float], caps: dict[str,
                 x[s] = step
         if len(done) == len(wanted):
             break
+    else:
+        if wanted:
+            raise RuntimeError(f"no rates for {sorted(set(wanted) - done)} after {config.steps} steps")
     return {s: v if math.isinf(v) else float(f"{v:.9g}") for s, v in x.items()}
 
 
+def _fixes(rounded: DataFrame, wanted: dict[str, float], caps: dict[str, int], most: int) -> list[tuple[int, int]]:
+    """(doc_id, copies to add, which may be -1): each round takes in every source the largest document that isn't larger than
+    what is lacking (or too much) and has a copy to give, so what is left shrinks to less than a short document."""
+    spark = rounded.sparkSession
+    got = {r["source"]: r["t"] for r in rounded.groupBy("source").agg(F.sum(F.col("tokens") * F.col("copies")).alias("t")).collect()}  # a row a source
+    left = {s: w - got.get(s, 0) for s, w in wanted.items()}
+    made: list[tuple[int, int]] = []
+    for _ in range(most):
+        now = spark.createDataFrame([(s, float(v), caps[s]) for s, v in left.items()], "source string, lacks double, cap int")
+        used = spark.createDataFrame([(d,) for d, _ in made], "doc_id long")
+        fit = rounded.join(F.broadcast(now), "source").where("tokens <= abs(lacks) and if(lacks > 0, copies < cap, copies > 0)")
+        fit = fit.join(F.broadcast(used), "doc_id", "left_anti")
+        best = fit.groupBy("source").agg(F.max(F.struct("tokens", "doc_id")).alias("b"), F.first("lacks").alias("lacks")).select("source", "b.*", "lacks").collect()
+        if not best:
+            break
+        for r in best:
+            way = 1 if r["lacks"] > 0 else -1
+            left[r["source"]] -= way * r["tokens"]
+            made.append((r["doc_id"], way))
+    return made
+
+
 def mix(documents: DataFrame, targets: DataFrame, config: MixConfig = MixConfig(), total: float | None = None) -> tuple[DataFrame, DataFrame]:
     """Two tables: copies (doc_id, source, tokens, rate, copies), without documents of no copy, and the report.
 
@@ -136,7 +169,10 @@ def mix(documents: DataFrame, targets: DataFrame, config: MixConfig = MixConfig(
     placed = positions(rated, ["source"], bucket, [F.col("tokens"), F.col("doc_id")], "sum", F.col("part"))
     start = F.pmod(F.xxhash64("source", F.lit(config.seed)), F.lit(unit))
     more = F.expr("1L") * (F.floor((F.col("sum") + start) / unit) - F.floor((F.col("sum") - F.col("part") + start) / unit))
-    copies = placed.withColumn("copies", (F.floor("rate") + more).cast("int")).where("copies > 0").select("doc_id", "source", "tokens", "rate", "copies")
+    rounded = settle(placed.withColumn("copies", (F.floor("rate") + more).cast("int")).select("doc_id", "source", "tokens", "rate", "copies"), "copies")
+    fixed = spark.createDataFrame(_fixes(rounded, wanted, caps, config.fixes), "doc_id long, more int")
+    copies = rounded.join(F.broadcast(fixed), "doc_id", "left")  # at most config.fixes rows a source
+    copies = copies.withColumn("copies", F.col("copies") + F.coalesce("more", F.lit(0))).where("copies > 0").drop("more")
     goal = spark.createDataFrame([(s, shares[s], wanted.get(s, 0.0) / size if size else 0.0, docs.get(s, 0), tokens.get(s, 0)) for s in goals], "source string, target_share double, wanted_share double, documents long, available_tokens long")
     got = copies.groupBy("source").agg(F.sum(F.col("copies").cast("long")).alias("copies"), F.sum(F.col("copies") * F.col("tokens")).alias("tokens"), F.max("copies").alias("most_copies"))
     everything = F.sum("tokens").over(Window.partitionBy(F.lit(0)))  # over one row a source
