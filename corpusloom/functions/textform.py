@@ -10,6 +10,7 @@ import re
 import unicodedata
 from collections import Counter
 from collections.abc import Callable
+from functools import lru_cache
 
 import pandas as pd
 import regex
@@ -89,7 +90,17 @@ def script_block(char: str) -> str:
         return TAMIL
     if 0xD00 <= code <= 0xD7F:
         return MALAYALAM
-    return f"block{code >> 7}"
+    return _named_script(char)
+
+
+@lru_cache(maxsize=100_000)
+def _named_script(char: str) -> str:
+    """The Unicode script that a character's name begins with, if it has that script; else ''."""
+    name = unicodedata.name(char, "").split(" ")[0].replace("-", "_")
+    try:
+        return name.lower() if name and regex.match(rf"\p{{Script={name}}}", char) else ""
+    except regex.error:  # a name that begins with no script
+        return ""
 
 
 def _tamil_signs(word: str) -> str:
@@ -103,7 +114,28 @@ def _tamil_signs(word: str) -> str:
     return word
 
 
-def readings(word: str) -> list[str]:
+def confusables(jvm: object) -> dict[tuple[str, str], str]:
+    """(letter, wanted script) -> letter of that script, for all letters, marks and digits that Unicode's security data
+    (UTS 39) call confusable, as the ICU library that Spark brings along has them; fixed values above go before them.
+
+    Letters stand in for each other if their skeletons are equal. Of several letters of the wanted script the one that is
+    the skeleton itself is taken; without it a letter that two of one script are like has none there.
+    """
+    chars = [c for c in map(chr, range(0x30, 0x20000)) if unicodedata.category(c) in ("Lu", "Ll", "Lo", "Mn", "Mc", "Nd") and script_block(c) not in ("", "cjk", "hangul")]
+    chars = [c for c in chars if len(unicodedata.normalize("NFKD", c)) == 1 and unicodedata.is_normalized("NFKC", c)]
+    skeletons = jvm.com.ibm.icu.text.SpoofChecker.Builder().build().getSkeleton("\n".join(chars)).split("\n")
+    groups: dict[str, dict[str, list[str]]] = {}
+    for c, skeleton in zip(chars, skeletons, strict=True):
+        groups.setdefault(skeleton, {}).setdefault(script_block(c), []).append(c)
+    made = {}
+    for skeleton, held in groups.items():
+        for target, own in held.items():
+            if len(own) == 1 or skeleton in own:
+                made |= {(c, target): skeleton if skeleton in own else own[0] for script, others in held.items() if script != target for c in others}
+    return made | LOOK_ALIKE
+
+
+def readings(word: str, table: dict[tuple[str, str], str] = LOOK_ALIKE) -> list[str]:
     """Every way to write a word of several scripts in one of them, the dominant script's first.
 
     Empty for a word of one script, and for one that no look-alikes lead to a single script.
@@ -111,13 +143,13 @@ def readings(word: str) -> list[str]:
     counts = Counter(s for s in map(script_block, word) if s)
     if len(counts) < 2:
         return []
-    firm = Counter(s for c in word if (s := script_block(c)) and not any((c, t) in LOOK_ALIKE for t in counts if t != s))
+    firm = Counter(s for c in word if (s := script_block(c)) and not any((c, t) in table for t in counts if t != s))
     made = []
     for target in sorted(counts, key=lambda s: (-firm[s], -counts[s], s != LATIN, s)):
         out = []
         for c in word:
             if (s := script_block(c)) and s != target:
-                c = LOOK_ALIKE.get((c, target), "")
+                c = table.get((c, target), "")
                 if not c:
                     break
             out.append(c)
@@ -142,14 +174,15 @@ def repair_word(word: str) -> str:
     return made[0] if made else word
 
 
-def consistent(text: str | None, word: Callable[[str], str] = repair_word) -> str | None:
-    """The consistent form; ``word`` writes one word in its own script."""
+def consistent(text: str | None, word: Callable[[str], str] = repair_word, every: bool = False) -> str | None:
+    """The consistent form; ``word`` writes one word in its own script. It's asked about words of scripts that the fixed
+    values tell of, or with ``every`` about those of any script."""
     if text is None:
         return None
     if _PLAIN.fullmatch(text):
         return unicodedata.normalize("NFC", text) if _LOOSE.search(text) else text
     text = fold(text)
-    if _suspect(text):
+    if every or _suspect(text):
         text = unicodedata.normalize("NFKC", _WORD.sub(lambda m: word(m[0]), text))
     return text
 

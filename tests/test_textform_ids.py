@@ -80,3 +80,13 @@ def test_plain_texts_are_composed():
     for a in marks:
         for b in marks:
             assert tf.consistent("க" + a + b + "x") == unicodedata.normalize("NFC", "க" + a + b + "x")
+
+
+def test_confusables_of_all_scripts(spark):
+    table = tf.confusables(spark._jvm)
+    assert len(table) > 2_000 and tf.LOOK_ALIKE.items() <= table.items()
+    assert table["\u0585", "latin"] == "o" and table["\u13a1", "latin"] == "R" and table["\u0966", "latin"] == "o"  # Armenian, Cherokee, a Devanagari digit
+    assert tf.readings("c\u0585py", table) == ["copy"] and tf.readings("c\u0585py") == []
+    assert tf.readings("\u10e7\u10d0x", table) == []  # Georgian letters without a Latin look-alike
+    assert [tf.script_block(c) for c in "\u0561\u0915\u10d0\u4e2d\u0301\u0967"] == ["armenian", "devanagari", "georgian", "", "", "devanagari"] or tf.script_block("\u4e2d") in ("cjk", "")
+    assert tf.consistent("c\u0585py \u0501", lambda w: (tf.readings(w, table) or [w])[0], every=True) == "copy \u0501"
