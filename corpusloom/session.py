@@ -80,11 +80,14 @@ def settle(df: DataFrame, name: str = "step") -> DataFrame:
     """Write ``df`` once as a columnar table in the shared folder and read it back.
 
     It cuts the lineage like ``checkpoint()`` does, so a lost executor costs no recomputation of
-    what came before, and later steps read only the columns they need.
+    what came before, and later steps read only the columns they need. The table is deleted by sweep(), or when the
+    application ends.
     """
     spark = df.sparkSession
     path = working_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
+    written = spark._jvm.org.apache.hadoop.fs.Path(path)
+    written.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(written)
     return spark.read.schema(df.schema).parquet(path)
 
 
