@@ -23,6 +23,37 @@ def store_of(path: str):
     return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("/") else fs.FileSystem.from_uri(f"/{path.removeprefix('file:').lstrip('/')}")
 
 
+def write_bytes(path: str, data: bytes) -> None:
+    """A file of these bytes in any store that Arrow knows by its address; folders are made."""
+    store, at = store_of(path)
+    store.create_dir(at.rsplit("/", 1)[0], recursive=True)
+    with store.open_output_stream(at) as out:
+        out.write(data)
+
+
+def read_bytes(path: str) -> bytes:
+    store, at = store_of(path)
+    with store.open_input_file(at) as held:
+        return held.read()
+
+
+def write_files(rows: DataFrame, folder: str) -> int:
+    """Files of (name, content BINARY) below a folder, written by the executors, each whole or not at all; gives their number.
+
+    A name may hold folders. A task that is run again writes its files again; equal names overwrite each other.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = 0
+        for batch in batches:
+            for name, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                write_bytes(f"{folder}/{name}", content)
+                n += 1
+        yield pa.record_batch({"n": pa.array([n], pa.int64())})
+
+    return rows.select("name", "content").mapInArrow(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
 def list_files(spark: SparkSession, folders: list[str], suffix: str, recursive: bool = False) -> DataFrame:
     """(path, name, size) of the files with this suffix; a folder that doesn't exist raises.
 

@@ -4,13 +4,13 @@ from __future__ import annotations
 
 import json
 from dataclasses import asdict, fields
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom import schema
 from corpusloom.config import TokenizerConfig
+from corpusloom.sources import files
 
 
 def read_manifest(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
@@ -50,12 +50,12 @@ def save_tokenizer(vocab: DataFrame, path: str, config: TokenizerConfig = Tokeni
         "kind": "character", "config": asdict(config), "blank_id": schema.BLANK, "unk_id": schema.UNKNOWN,
         "size": len(rows) + 2, "real_symbols": len(rows), "counts": {s: n for _, s, n in rows}, "symbols": ["<blank>", "<unk>", *[s for _, s, _ in rows]],
     }
-    Path(path).write_text(json.dumps(document, ensure_ascii=False, indent=2, sort_keys=True) + "\n", encoding="utf-8")
+    files.write_bytes(path, (json.dumps(document, ensure_ascii=False, indent=2, sort_keys=True) + "\n").encode())
 
 
 def load_tokenizer(spark: SparkSession, path: str) -> DataFrame:
     """The vocabulary of a saved tokenizer; another kind, other special ids or repeated symbols raise ValueError."""
-    held = json.loads(Path(path).read_text(encoding="utf-8"))
+    held = json.loads(files.read_bytes(path))
     symbols = held.get("symbols", [])
     if held.get("kind") != "character" or held.get("blank_id") != schema.BLANK or held.get("unk_id") != schema.UNKNOWN:
         raise ValueError("not a character tokenizer")
@@ -67,14 +67,14 @@ def load_tokenizer(spark: SparkSession, path: str) -> DataFrame:
 
 def tokenizer_config(path: str) -> TokenizerConfig:
     """The settings of a saved tokenizer; absent ones have their defaults, unknown ones are ignored."""
-    held, known = json.loads(Path(path).read_text(encoding="utf-8")), {f.name for f in fields(TokenizerConfig)}
+    held, known = json.loads(files.read_bytes(path)), {f.name for f in fields(TokenizerConfig)}
     return TokenizerConfig(**{k: v for k, v in held.get("config", {}).items() if k in known})
 
 
 def write_document(rows: DataFrame, path: str) -> None:
     """A table of measurements as one JSON document: an array of its rows. For results of a few rows, as reports are."""
     held = rows.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"})).collect()
-    Path(path).write_text(json.dumps([json.loads(r[0]) for r in held], ensure_ascii=False, indent=2, sort_keys=True) + "\n", encoding="utf-8")
+    files.write_bytes(path, (json.dumps([json.loads(r[0]) for r in held], ensure_ascii=False, indent=2, sort_keys=True) + "\n").encode())
 
 
 def write_words(ranks: DataFrame, folder: str, top: int | None = None) -> None:

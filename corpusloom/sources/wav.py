@@ -91,6 +91,19 @@ def encode(x: np.ndarray, rate: int) -> bytes:
     return b"RIFF" + struct.pack("<I", 36 + len(body)) + b"WAVEfmt " + struct.pack("<I", 16) + form + b"data" + struct.pack("<I", len(body)) + body
 
 
+def write_clips(clips: DataFrame, folder: str) -> int:
+    """32-bit float WAV files of (name, samples ARRAY<FLOAT>, sample_rate) below a folder; gives their number."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(1)
+            ends, values = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False)
+            made = [encode(values[a:b], r) for a, b, r in zip(ends[:-1], ends[1:], batch.column(2).to_pylist(), strict=True)]
+            yield pa.record_batch({"name": batch.column(0), "content": pa.array(made, pa.binary())})
+
+    return files.write_files(clips.select("name", "samples", "sample_rate").mapInArrow(run, "name string, content binary"), folder)
+
+
 def _files(spark: SparkSession, path: str) -> DataFrame:
     """(path, content) of all WAV files below a folder, those of no bytes included."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.wav").load(path)
