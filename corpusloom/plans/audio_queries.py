@@ -347,10 +347,25 @@ def event_sessions(spark, folder):
     return windows.sessions(table(spark, folder, "events"))
 
 
-@add("quality_report")
+@add(
+    "quality_report",
+    f"""with {WAVE}, {FRAMED}, {DFT}, db as (select *, case when peak > 0 then 20 * log10(peak) else '-infinity'::double end as peak_dbfs, case when rms > 0 then 20 * log10(rms) else '-infinity'::double end as rms_dbfs from level),
+  loud as (select utt, peak, rms, dc_offset, clipping_ratio, case when rms > 0 then peak / rms else 0 end as crest_factor, peak_dbfs, rms_dbfs, len(f) as n,
+    list_sum(list_transform(range(1, len(f)), lambda i: case when (f[i] < 0) <> (f[i + 1] < 0) then 1 else 0 end)) / len(f) as zero_crossing_rate,
+    case when clipping_ratio > 0.001 then 'clipped' when rms_dbfs <= -80 then 'silent' when rms_dbfs < -50 then 'too_quiet' when peak_dbfs > -1 then 'too_loud' else 'normal' end as loudness from db),
+  quiet as (select utt, greatest(quantile_cont(case when r > 0 then 20 * log10(r) end, 0.9) - quantile_cont(case when r > 0 then 20 * log10(r) end, 0.1), 0) as snr, avg((r <= 0 or 20 * log10(nullif(r, 0)) <= -18)::int) as silence_ratio from rmss group by utt),
+  grown as (select *, k * 250.0::double as hz, sum(size) over (partition by utt, f order by k) as grown, sum(size) over (partition by utt, f) as total from spectrum),
+  centres as (select utt, f, sum(size * hz) / max(greatest(total, 1e-12)) as centre, exp(avg(ln(greatest(size, 1e-12)))) / avg(greatest(size, 1e-12)) as flat, min(case when grown >= 0.85 * total then hz end) as edge from grown group by utt, f),
+  spreads as (select g.utt, g.f, sqrt(sum(size * (hz - centre) * (hz - centre)) / max(greatest(total, 1e-12))) as spread from grown g join centres c on g.utt = c.utt and g.f = c.f group by g.utt, g.f),
+  spectra as (select utt, round(avg(centre), 6) as spectral_centroid_hz, round(avg(spread), 6) as spectral_bandwidth_hz, round(avg(edge), 6) as spectral_rolloff_hz, round(avg(flat), 9) as spectral_flatness from centres join spreads using (utt, f) group by utt)
+  select utt, round(peak, 9) as peak, round(rms, 9) as rms, round(dc_offset, 9) + 0.0 as dc_offset, clipping_ratio, round(crest_factor, 6) as crest_factor, round(peak_dbfs, 6) as peak_dbfs, round(rms_dbfs, 6) as rms_dbfs, loudness,
+    n / 16000 as duration, cast(n as integer) as num_samples, zero_crossing_rate, round(snr, 6) as estimated_snr_db, silence_ratio, spectral_centroid_hz, spectral_bandwidth_hz, spectral_rolloff_hz, spectral_flatness
+  from loud join quiet using (utt) join spectra using (utt)""",
+)
 def quality_report(spark, folder):
-    held = sp.quality_report(clips(spark, folder), frame=25 / 16_000, hop=12 / 16_000, silence=-18.0, config=StftConfig(n_fft=64, win_length=32, hop_length=16))
-    return held.drop("loudness_issues")
+    held = sp.quality_report(clips(spark, folder), frame=25 / 16_000, hop=12 / 16_000, silence=-18.0, config=SMALL).drop("loudness_issues", "sample_rate")
+    digits = {"peak": 9, "rms": 9, "dc_offset": 9, "crest_factor": 6, "peak_dbfs": 6, "rms_dbfs": 6, "estimated_snr_db": 6, "spectral_centroid_hz": 6, "spectral_bandwidth_hz": 6, "spectral_rolloff_hz": 6, "spectral_flatness": 9}
+    return held.withColumns({c: F.round(c, d) + 0.0 for c, d in digits.items()})
 
 
 @add("model_tokens")
