@@ -163,7 +163,7 @@ def split_rows(manifest: DataFrame, versions: DataFrame, seed: int = 11) -> Data
     joined to one with an older head. Components with more rows than half of the smallest split's share are placed first,
     the largest first, each in the split that lacks most (at most a few dozen a dataset and delivery). A component belongs
     to the dataset its head came with first. A split of ratio 0 gets no row, a row without any speaker stands for itself, a
-    null dataset is one of its own, and a dataset without version uses 0.9, 0.05, 0.05. Spark jobs run when this is called:
+    null dataset is one of its own, and a dataset without version or without a ratio above 0 uses 0.9, 0.05, 0.05. Spark jobs run when this is called:
     a few for each delivery, over one row a speaker.
     """
     ratios = latest_ratios(versions)
@@ -188,14 +188,15 @@ def split_rows(manifest: DataFrame, versions: DataFrame, seed: int = 11) -> Data
         held = {(r["dataset"], r["split"]): r["n"] for r in known.groupBy("dataset", "split").agg(F.sum("n").alias("n")).collect()}
         wanted = {}
         for d in {d for d, _ in held}:
-            want = {s: ratios.get(d, PLAIN).get(s, 0.0) for s in SPLITS}
+            want = {s: max(ratios.get(d, PLAIN).get(s) or 0.0, 0.0) for s in SPLITS}
+            want = want if sum(want.values()) > 0 else PLAIN
             total = sum(n for (name, _), n in held.items() if name == d)
             wanted[d] = {s: total * r / sum(want.values()) for s, r in want.items()}
-        most = manifest.sparkSession.createDataFrame([(d, HEAVY * min(v for v in want.values() if v > 0)) for d, want in wanted.items() if any(want.values())], "dataset string, most double")
+        most = manifest.sparkSession.createDataFrame([(d, HEAVY * min(v for v in want.values() if v > 0)) for d, want in wanted.items()], "dataset string, most double")
         new = known.where("split is null").join(F.broadcast(most), "dataset")
         heavy = new.where("n > most").select("dataset", "head", "n").collect()  # at most 2 / smallest ratio a dataset
         cells = {(r["dataset"], r["cell"]): r["n"] for r in new.where("n <= most").groupBy("dataset", "cell").agg(F.sum("n").alias("n")).collect()}  # at most CELLS a dataset
-        plan.fit(delivery, {d: w for d, w in wanted.items() if any(w.values())}, held, heavy, cells)
+        plan.fit(delivery, wanted, held, heavy, cells)
     if heads is None:
         return manifest.sparkSession.createDataFrame([], "row_id long, dataset_id string, component long, split string")
     given = plan.apply(heads).select("component", "split")

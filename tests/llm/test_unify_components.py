@@ -138,3 +138,11 @@ def test_plans_only_grow():
     assert [s for s, _ in first["d", 1]] == ["train", "dev", "test"] and first["d", 1][0][1] == 3200 and first["d", 1][2][1] == components.CELLS
     plan.fit(2, {"d": {k: 2 * v for k, v in want["d"].items()}}, {("d", "train"): 100}, [{"dataset": "d", "head": 7, "n": 12}], {("d", c): 1 for c in range(0, 4000, 40)})
     assert plan.ends["d", 1] == first["d", 1] and plan.placed == {("d", 7): "train"} and plan.ends["d", 2][0][1] < 2900
+
+
+def test_ratios_that_say_nothing_give_the_plain_ones(spark, manifest):
+    given = spark.createDataFrame([("d", "v1", "train", 0.0), ("d", "v1", "dev", None), ("e", "v1", "other", 1.0), (None, "v1", "train", 1.0)], "dataset_id string, dataset_version string, split string, ratio double")
+    rows = [{"row_id": i, "utterance_id": f"AB_{i // 4:07d}_{i:07d}", "dataset_id": ("d", "e", None)[i % 12 // 4], "delivery": (1, 2, None)[i % 3]} for i in range(1200)]
+    got = components.split_rows(manifest(rows, extra=["split", "node", "component"]), given).collect()
+    assert len(got) == 1200 and {x.split for x in got} == {"train", "dev", "test"}
+    assert 0.8 < sum(x.split == "train" for x in got) / 1200 < 0.97
