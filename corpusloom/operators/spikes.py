@@ -2,8 +2,9 @@
 
 Each source gets an isolation forest over four features of a reading: level (against the source's median), difference
 to the reading before, seasonal residual (against the source's mean at that hour) and length of the run of equal
-readings. The forest is grown from a bounded sample of the source's readings, calibrated to what is usual there, and
-scores every reading; explicit rules on physical limits decide on what the score brings up.
+readings. The trees of the forest are grown from small random samples, as the method has it. The forest scores every
+reading, and what score is unusual follows from the scores of all of the source's readings, exactly; explicit rules on
+physical limits decide on what the score brings up.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import ids
 from corpusloom.functions.textform import filled_column
-from corpusloom.operators.grouped import grouped_median
+from corpusloom.operators.grouped import grouped_median, ranked_values
 from corpusloom.session import broadcast_small, settle
 
 FEATURES = ("level", "change", "season", "run")
@@ -110,7 +111,7 @@ class Forest:
 
 
 #: Columns that go through the scoring as they are.
-_CARRIED = "row_id long, speaker long, duration double, ratio double, run_length long, n long"
+_CARRIED = "row_id long, speaker long, duration double, ratio double, run_length long, n long, usual boolean"
 
 
 def _scorer(config: SpikeConfig):
@@ -120,21 +121,25 @@ def _scorer(config: SpikeConfig):
         x = np.column_stack([table.column(c).to_numpy(zero_copy_only=False) for c in FEATURES])
         x = np.clip(np.nan_to_num(x, nan=0.0, posinf=50.0, neginf=-50.0), -50.0, 50.0)
         grow, own = (table.column(c).to_numpy(zero_copy_only=False) for c in ("grow", "own"))
-        usual = table.column("usual").to_numpy(zero_copy_only=False)
         order = np.argsort(table.column("row_id").to_numpy(zero_copy_only=False)[grow], kind="stable")  # the same forest in every piece and run
-        pool = x[grow][order]
+        pool, rows = x[grow][order], x[own]
         forest = Forest(pool, config, int(key[0].as_py())) if len(pool) else None
-        score = lambda rows: np.concatenate([forest.score(rows[i : i + 4096]) for i in range(0, len(rows), 4096)]) if forest and len(rows) else np.zeros(len(rows))
-        normal = np.sort(score(pool[usual[grow][order]]))
-        middle, cut = (normal[int(q * (len(normal) - 1))] for q in (0.5, config.calm)) if len(normal) else (0.0, 0.0)
-        top = cut + config.rare * (cut - middle) if cut > middle else np.inf
+        score = np.concatenate([forest.score(rows[i : i + 4096]) for i in range(0, len(rows), 4096)]) if forest and len(rows) else np.zeros(len(rows))
         out = table.filter(pa.array(own)).select(carried)
-        n = out.num_rows
-        return pa.table({**{c: out.column(c) for c in carried}, "score": pa.array(score(x[own]), pa.float64()), "cut": pa.array(np.full(n, cut)), "top": pa.array(np.full(n, top))})
+        return pa.table({**{c: out.column(c) for c in carried}, "score": pa.array(score, pa.float64())})
 
     return run
 
 
+def _limits(scored: DataFrame, config: SpikeConfig) -> DataFrame:
+    """(speaker, cut, top): the quantile ``calm`` of the scores of all of a speaker's readings within the limits, and the score
+    from which on a reading is isolated. A speaker without such readings has no row."""
+    ranks = {name: f"cast(floor({q}D * (n - 1)) as long) + 1" for name, q in (("middle", 0.5), ("cut", config.calm))}
+    held = ranked_values(scored.where("usual"), ["speaker"], "score", ranks)
+    top = F.when(F.col("cut") > F.col("middle"), F.col("cut") + config.rare * (F.col("cut") - F.col("middle"))).otherwise(float("inf"))
+    return held.select("speaker", "cut", top.alias("top"))
+
+
 def _runs(rows: DataFrame, span: int) -> DataFrame:
     """(speaker, number, mark, before, run_length): the utterances with a duration in order of their numbers.
 
@@ -178,7 +183,7 @@ def _pieces(rows: DataFrame, config: SpikeConfig) -> DataFrame:
     ).withColumn("piece", F.pmod(F.xxhash64("row_id"), F.col("chunks")).cast("int"))
     more = judged.where("grow and chunks > 1").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     more = more.where("other <> piece").withColumns({"piece": F.col("other"), "own": F.lit(False)})
-    wanted = ["piece", *[c.split()[0] for c in _CARRIED.split(", ")], "grow", "own", "usual", *FEATURES]
+    wanted = ["piece", *[c.split()[0] for c in _CARRIED.split(", ")], "grow", "own", *FEATURES]
     return judged.select(*wanted).unionByName(more.select(*wanted))
 
 
@@ -224,9 +229,11 @@ def score_durations(manifest: DataFrame, config: SpikeConfig = SpikeConfig()) ->
     rows = settle(rows.select("row_id", "speaker", "duration", "hour", "ratio", F.col("run_length").cast("long").alias("run_length"), F.coalesce("n", F.lit(0)).alias("n"), "readings", "level", "change", "run"), "features")
     known = F.col("speaker").isNotNull() & F.col("duration").isNotNull()
     pieces = _pieces(rows.where(known), config).groupBy("speaker", "piece")
-    scored = pieces.applyInArrow(_scorer(config), f"{_CARRIED}, score double, cut double, top double")
+    scored = settle(pieces.applyInArrow(_scorer(config), f"{_CARRIED}, score double"), "scores")
+    limits = broadcast_small(settle(_limits(scored, config), "limits"))
+    scored = scored.join(limits, "speaker", "left").withColumns({"cut": F.coalesce("cut", F.lit(0.0)), "top": F.coalesce("top", F.lit(float("inf")))}).drop("usual")
     none = F.lit(None).cast("double")
-    rest = rows.where(~known).select(*[c.split()[0] for c in _CARRIED.split(", ")], none.alias("score"), none.alias("cut"), none.alias("top"))
+    rest = rows.where(~known).select("row_id", "speaker", "duration", "ratio", "run_length", "n", none.alias("score"), none.alias("cut"), none.alias("top"))
     impossible = F.expr("duration is not null and not (duration > 0 and duration < double('inf'))")
     # Limits are compared with a slack of a few rounding errors, so that a ratio of exactly 1.8 counts.
     apart = (F.col("ratio") >= config.factor * (1 - 1e-12)) | (F.col("ratio") <= (1 + 1e-12) / config.factor)

@@ -123,6 +123,20 @@ def test_a_recorder_of_zeros_is_spread_over_pieces(spark):
     assert len(first) == 8 and max(r.own for r in first) < 700 and sum(r.own for r in first) == 4000 and max(r.grow for r in first) < 120
 
 
+def test_cuts_are_quantiles_of_all_readings(spark):
+    """The cut and what is isolated follow from every reading within the limits, however few of them the trees draw from."""
+    r = random.Random(12)
+    rows = [(1000 * s + u, f"AB_{s:07d}_{u:07d}", "க" * 60, f"{s:07d}", 60 / (12 * r.lognormvariate(0, 0.2)), None) for s, n in ((1, 700), (2, 90)) for u in range(n)]
+    config = spikes.SpikeConfig(pool=64, chunk=150)
+    held = spikes.score_durations(spark.createDataFrame(rows, SCHEMA), config).collect()
+    for s in (1, 2):
+        own = [x for x in held if x.speaker == s]
+        normal = sorted(x.score for x in own if abs(math.log(x.ratio)) < math.log(1.8) and x.run_length < 4)
+        middle, cut = (normal[int(q * (len(normal) - 1))] for q in (0.5, 0.75))
+        assert len(normal) > 64 and {x.cut for x in own} == {cut}
+        assert all(("isolated" in x.reasons) == (x.score > cut + 3 * (cut - middle)) for x in own)
+
+
 def test_empty_and_single(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert spikes.found_spikes(empty).count() == 0
